@@ -25,6 +25,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of an undirected edge table.
 
@@ -40,10 +44,10 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
         .distinct()
     )
     state = materialize(state, "cc")
-    seen = None
+    seen = _fingerprint(state)
     for _ in range(max_rounds):
         state = materialize(_small_star(_large_star(state)), "cc")
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = _fingerprint(state)
         if now == seen:
             break
         seen = now
