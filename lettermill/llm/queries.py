@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lettermill.llm.minhash import MinHashConfig, near_duplicates
+from lettermill.llm.packing import PackingConfig, pack
+from lettermill.llm.tokenfile import TokenFileConfig, read_tokens, write_tokens
+from lettermill.session import scratch_path
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +23,23 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, MinHashConfig(words=4))
 
 
+def op2_bitplane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = scratch_path(spark, "token-file")
+    write_tokens(docs, path, TokenFileConfig(_vocabulary("byte_bpe_50k.json"), end_id=2))
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pieces = pack(docs, PackingConfig(_vocabulary("word_bpe_49k.json"), end_id=1))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_bitplane_token_files": op2_bitplane_token_files,
+    "op7_curve_packing": op7_curve_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
