@@ -129,7 +129,7 @@ def _bucket_of(key: Column, cuts: list[int]) -> Column:
     below = lambda values: F.aggregate(values, F.lit(0), lambda n, c: n + (c < key).cast("int"))
     full = below(F.array(*[F.lit(g[-1]) for g in groups]))
     inner = F.get(F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups]), full)
-    return full * step + F.coalesce(below(inner), F.lit(0))
+    return F.least(full * step + F.coalesce(below(inner), F.lit(0)), F.lit(len(cuts)))
 
 
 def pack(docs: DataFrame, cfg: PackingConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

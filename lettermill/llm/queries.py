@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lettermill.llm.langid import fit, held_out, predict
 from lettermill.llm.minhash import MinHashConfig, near_duplicates
 from lettermill.llm.packing import PackingConfig, pack
 from lettermill.llm.tokenfile import TokenFileConfig, read_tokens, write_tokens
@@ -30,6 +31,12 @@ def op2_bitplane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_centroid_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = fit(docs.where(~held_out()))
+    return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pieces = pack(docs, PackingConfig(_vocabulary("word_bpe_49k.json"), end_id=1))
@@ -39,6 +46,7 @@ def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_bitplane_token_files": op2_bitplane_token_files,
+    "op5_centroid_language_id": op5_centroid_language_id,
     "op7_curve_packing": op7_curve_packing,
 }
 
