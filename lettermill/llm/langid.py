@@ -35,7 +35,7 @@ class LangIdConfig:
     per_language: int = 1500
     max_languages: int = 500
     reject_share: float = 0.001
-    reject_margin: float = 0.1
+    reject_margin: float = 0.2
     seed: int = 11
 
 
