@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lettermill.llm.embdedup import embedding_near_duplicates
 from lettermill.llm.langid import fit, held_out, predict
 from lettermill.llm.minhash import MinHashConfig, near_duplicates
 from lettermill.llm.packing import PackingConfig, pack
@@ -37,6 +38,10 @@ def op5_centroid_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op6_sorted_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pieces = pack(docs, PackingConfig(_vocabulary("word_bpe_49k.json"), end_id=1))
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_bitplane_token_files": op2_bitplane_token_files,
     "op5_centroid_language_id": op5_centroid_language_id,
+    "op6_sorted_projection_dedup": op6_sorted_projection_dedup,
     "op7_curve_packing": op7_curve_packing,
 }
 
