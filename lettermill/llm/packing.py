@@ -14,8 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from lettermill.llm.lookup import count_below
 from lettermill.llm.tokens import encoder
 from lettermill.session import materialize
 
@@ -120,18 +121,6 @@ def _cutting(batches: Iterator[pa.RecordBatch], cfg: PackingConfig) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names=names)
 
 
-def _bucket_of(key: Column, cuts: list[int]) -> Column:
-    """How many cuts lie below ``key``: first by groups of cuts, then inside one group."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, round(len(cuts) ** 0.5))
-    groups = [cuts[at : at + step] for at in range(0, len(cuts), step)]
-    below = lambda values: F.aggregate(values, F.lit(0), lambda n, c: n + (c < key).cast("int"))
-    full = below(F.array(*[F.lit(g[-1]) for g in groups]))
-    inner = F.get(F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups]), full)
-    return F.least(full * step + F.coalesce(below(inner), F.lit(0)), F.lit(len(cuts)))
-
-
 def pack(docs: DataFrame, cfg: PackingConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: ``(doc_id, start, length, doc_tokens, sequence_id, offset, ids)``.
 
@@ -150,7 +139,7 @@ def pack(docs: DataFrame, cfg: PackingConfig, id_col: str = "doc_id", text_col:
     n = placed.count()
     parts = int(min(cfg.buckets, max(1, -(-n // cfg.bucket_docs))))
     cuts = sorted(set(placed.approxQuantile("key", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 and n else []))
-    bucket = _bucket_of(F.col("key"), [int(c) for c in cuts])
+    bucket = count_below(F.col("key"), [int(c) for c in cuts])
     placed = placed.withColumn("bucket", bucket)
     # one row a bucket, at most cfg.buckets
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

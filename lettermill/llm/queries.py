@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lettermill.llm.embdedup import embedding_near_duplicates
 from lettermill.llm.langid import fit, held_out, predict
 from lettermill.llm.minhash import MinHashConfig, near_duplicates
+from lettermill.llm import mixing
 from lettermill.llm.packing import PackingConfig, pack
+from lettermill.llm.sharding import shard
 from lettermill.llm.tokenfile import TokenFileConfig, read_tokens, write_tokens
 from lettermill.session import scratch_path
 
@@ -48,12 +50,31 @@ def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op10_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sized = docs.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
+        F.coalesce(F.crc32("text"), F.lit(0).cast("long")).alias("text_crc32"),
+    )
+    placed = shard(sized, spare_key="text_crc32")
+    return placed.select(*sized.columns, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_bitplane_token_files": op2_bitplane_token_files,
     "op5_centroid_language_id": op5_centroid_language_id,
     "op6_sorted_projection_dedup": op6_sorted_projection_dedup,
     "op7_curve_packing": op7_curve_packing,
+    "op8_poisson_mixing": op8_poisson_mixing,
+    "op10_bounded_ring_sharding": op10_bounded_ring_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_poisson_mixing": mixing.oracle_sql(),
+}
