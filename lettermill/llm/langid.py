@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 UNKNOWN = "und"
 
@@ -162,20 +162,23 @@ def fit(labelled: DataFrame, cfg: LangIdConfig = LangIdConfig(), id_col: str = "
     return LangIdModel([r.lang for r in fitted], matrix, idf, floors, cfg)
 
 
-def predict(docs: DataFrame, model: LangIdModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score, rejected)`` for every row, from its whole text alone.
+def predict(docs: DataFrame, model: LangIdModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns of every row (all by default) with ``lang_pred, score, rejected``, from its whole text alone.
 
     ``score`` is the cosine to the nearest centroid, ties to the first language by
     name. A null text or one without letters is ``und`` with score 0 and rejected, as is
-    every text where nothing was learned. Rows of equal or null id each keep their row.
+    every text where nothing was learned. Rows of equal or null id each keep their row;
+    input columns named like the three are replaced.
     """
     cfg = model.cfg
+    new = ["lang_pred", "score", "rejected"]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [counts(t.as_py(), cfg.width) for t in part.column(1)]
+                found = [counts(t.as_py(), cfg.width) for t in part.column(0)]
                 n = len(found)
                 langs, score, rejected = np.full(n, UNKNOWN, object), np.zeros(n), np.ones(n, bool)
                 known = [i for i, c in enumerate(found) if c is not None]
@@ -186,13 +189,13 @@ def predict(docs: DataFrame, model: LangIdModel, id_col: str = "doc_id", text_co
                     langs[known] = np.array(model.languages, object)[best]
                     score[known] = cosine.max(1).clip(0, 1)
                     rejected[known] = score[known] < model.floors[_length_class(raw)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(langs.tolist(), pa.string()), pa.array(score), pa.array(rejected)],
-                    names=["doc_id", "lang_pred", "score", "rejected"],
-                )
+                columns = [part.column(1 + k) for k in range(len(kept))]
+                columns += [pa.array(langs.tolist(), pa.string()), pa.array(score), pa.array(rejected)]
+                yield pa.RecordBatch.from_arrays(columns, names=kept + new)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(kernel, "doc_id long, lang_pred string, score double, rejected boolean")
+    rows = docs.select(F.col(text_col).alias("__text"), *kept)
+    schema = T.StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    return rows.mapInArrow(kernel, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lettermill.llm.annforest import nearest
 from lettermill.llm.embdedup import embedding_near_duplicates
 from lettermill.llm.langid import fit, held_out, predict
 from lettermill.llm.minhash import MinHashConfig, near_duplicates
@@ -37,7 +38,7 @@ def op2_bitplane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_centroid_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.where(~held_out()))
-    return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return predict(docs, model, keep=["doc_id"]).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op6_sorted_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,11 @@ def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_prefix_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op10_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.select(
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sorted_projection_dedup": op6_sorted_projection_dedup,
     "op7_curve_packing": op7_curve_packing,
     "op8_poisson_mixing": op8_poisson_mixing,
+    "op9_prefix_forest_search": op9_prefix_forest_search,
     "op10_bounded_ring_sharding": op10_bounded_ring_sharding,
 }
 
