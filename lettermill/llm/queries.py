@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lettermill.llm.annforest import nearest
+from lettermill.llm.chat import format_chats
 from lettermill.llm.embdedup import embedding_near_duplicates
 from lettermill.llm.langid import fit, held_out, predict
+from lettermill.llm.licenses import scan_licenses
 from lettermill.llm.minhash import MinHashConfig, near_duplicates
 from lettermill.llm import mixing
 from lettermill.llm.packing import PackingConfig, pack
@@ -35,6 +37,14 @@ def op2_bitplane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_role_repair_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op4_conditional_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_centroid_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.where(~held_out()))
@@ -74,6 +84,8 @@ def op10_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_bitplane_token_files": op2_bitplane_token_files,
+    "op3_role_repair_chat": op3_role_repair_chat,
+    "op4_conditional_license_scan": op4_conditional_license_scan,
     "op5_centroid_language_id": op5_centroid_language_id,
     "op6_sorted_projection_dedup": op6_sorted_projection_dedup,
     "op7_curve_packing": op7_curve_packing,
