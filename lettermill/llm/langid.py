@@ -128,10 +128,14 @@ def fit(labelled: DataFrame, cfg: LangIdConfig = LangIdConfig(), id_col: str = "
         df[r.slot] = r.n
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("of"))
-    # uniform in [0, 1): keeps per_language rows of each language on average, cut below to the bound
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("of")).limit(cfg.max_languages + 1).collect()
+    if len(sizes) > cfg.max_languages:
+        raise ValueError(f"over {cfg.max_languages} labels: raise max_languages if that is meant")
+    # uniform in [0, 1): keeps per_language rows of each language on average, cut below to the bound;
+    # the sizes are constants of the filter, so that only the sample is dealt by language
     draw = F.pmod(F.xxhash64("id", F.lit(cfg.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = rows.withColumn("draw", draw).join(sizes, "lang").where(F.col("draw") * F.col("of") < cfg.per_language)
+    of = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], r["of"])])[F.col("lang")] if sizes else F.lit(0)
+    sample = rows.withColumn("draw", draw).where(F.col("draw") * of < cfg.per_language)
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["draw", "id"]).head(cfg.per_language)
@@ -142,13 +146,11 @@ def fit(labelled: DataFrame, cfg: LangIdConfig = LangIdConfig(), id_col: str = "
         x = _unit(raw, idf).astype(np.float32)
         c = _cluster(x, cfg)
         best, length = (x @ c.T).max(1), _length_class(raw)
-        extra = [[]] * (len(c) - 1)
+        extra = [[]] * (len(c) - 1)  # the scores stand in the first row
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(c), "scores": [best, *extra], "lengths": [length, *extra]})
 
     schema = "lang string, centroid array<float>, scores array<float>, lengths array<int>"
-    fitted = sample.select("lang", "id", "draw", "text").groupBy("lang").applyInPandas(centroids, schema).limit(cfg.max_languages * cfg.centroids + 1).collect()
-    if len(fitted) > cfg.max_languages * cfg.centroids:
-        raise ValueError(f"over {cfg.max_languages} labels: raise max_languages if that is meant")
+    fitted = sample.select("lang", "id", "draw", "text").groupBy("lang").applyInPandas(centroids, schema).collect()
     fitted.sort(key=lambda r: (r.lang, -len(r.scores)))
     scores = np.array([s for r in fitted for s in r.scores], np.float64)
     lengths = np.array([s for r in fitted for s in r.lengths], int)
