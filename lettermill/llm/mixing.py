@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lettermill.session import materialize
+
 
 @dataclass(frozen=True)
 class MixConfig:
@@ -69,7 +71,9 @@ def mix(docs: DataFrame, cfg: MixConfig = MixConfig(), id_col: str = "doc_id", s
     name. An empty table gives an empty result.
     """
     own = [c for c in docs.columns if c not in ("replica", "n_replicas", "shuffle_key")]
-    known = rates(docs, cfg, source_col).select(F.col("source").alias("__source"), _distribution(F.col("rate")).alias("__cdf"))
+    # one row a source, written so that its true size decides whether it is broadcast
+    known = materialize(rates(docs, cfg, source_col), "mixing-rates")
+    known = known.select(F.col("source").alias("__source"), _distribution(F.col("rate")).alias("__cdf"))
     identity = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.col(text_col)), F.lit(""))
     drawn = (
         docs.select(*own).withColumn("__id", F.md5(identity))
