@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lettermill.functions.text import text_column, trim_all
+from lettermill.functions.text import bound, text_column, trim_all
 
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 #: Offsets in minutes of the zone names that mail standards list.
@@ -23,7 +23,10 @@ def _instant(year: Column, month: Column, day: Column, hour: Column, minute: Col
 
 def parse_mail_date(c: Column | str) -> Column:
     """Epoch ms of a zoned RFC 5322 date; null if it is malformed, out of range or has no zone."""
-    c = F.regexp_replace(trim_all(c), r"\s*\([^()]*\)\s*$", "")
+    return bound(F.regexp_replace(trim_all(c), r"\s*\([^()]*\)\s*$", ""), _parsed_date)
+
+
+def _parsed_date(c: Column) -> Column:
     shape = r"(?i)^(?:[a-z]{3,9}\s*,\s*)?(\d{1,2})\s+([a-z]{3})[a-z]*\s+(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s+([+-]\d{4}|[a-z]+)$"
     part = lambda k: F.regexp_extract(c, shape, k)
     number = lambda k: part(k).try_cast("int")
@@ -45,7 +48,7 @@ def derive_sent_at(date: Column, emlx_ms: Column, received: Column) -> Column:
     zoned = parse_mail_date(date)
     bare = F.when(~date_has_timezone(date) & (trim_all(date) != ""), parse_mail_date(F.concat(trim_all(date), F.lit(" +0000"))))
     first = F.array_min(F.filter(F.transform(received, parse_mail_date), lambda x: x.isNotNull()))
-    made = lambda ms, kind: F.when(ms.isNotNull(), F.struct(ms.alias("ms"), F.lit(kind).alias("kind")))
+    made = lambda ms, kind: bound(ms, lambda x: F.when(x.isNotNull(), F.struct(x.alias("ms"), F.lit(kind).alias("kind"))))
     nothing = F.struct(F.lit(0).cast("long").alias("ms"), F.lit("unknown").alias("kind"))
     return F.coalesce(made(zoned, "sent"), made(emlx_ms, "sent"), made(bare, "sent_zone_unknown"), made(first, "received"), nothing)
 

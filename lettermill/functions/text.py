@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -14,6 +15,14 @@ def text_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once a row, however often ``f`` uses it.
+
+    Spark inlines an expression wherever it is named, inside a lambda once an element.
+    """
+    return F.transform(F.array(value), f)[0]
+
+
 def trim_all(c: Column | str) -> Column:
     """Trim Unicode white space on both ends (Spark's trim takes blanks alone)."""
     return F.regexp_replace(text_column(c), _EDGES, "")
@@ -286,13 +295,19 @@ def addresses(recipients: Column | str, kind: str) -> Column:
 
 def body_snippet(tokens: Column | str, terms: list[str], n: int = 24) -> Column:
     """The window of ``n`` tokens that holds the most different terms, the first such one."""
-    t = text_column(tokens)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(t) - n))
     wanted = F.array(*[F.lit(x) for x in terms]) if terms else F.expr("cast(array() as array<string>)")
-    scored = F.transform(starts, lambda s: F.struct(F.size(F.array_intersect(wanted, F.slice(t, s + 1, n))).alias("hits"), (-s).alias("at")))
-    start = -F.array_max(scored)["at"]
-    shown = F.array_join(F.slice(t, start + 1, n), " ")
-    return F.concat(F.when(start > 0, "…").otherwise(""), shown, F.when(start + n < F.size(t), "…").otherwise(""))
+
+    def shown(t: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(t) - n))
+        scored = F.transform(starts, lambda s: F.struct(F.size(F.array_intersect(wanted, F.slice(t, s + 1, n))).alias("hits"), (-s).alias("at")))
+
+        def window(start: Column) -> Column:
+            text = F.array_join(F.slice(t, start + 1, n), " ")
+            return F.concat(F.when(start > 0, "…").otherwise(""), text, F.when(start + n < F.size(t), "…").otherwise(""))
+
+        return bound(-F.array_max(scored)["at"], window)
+
+    return bound(text_column(tokens), shown)
 
 
 def any_of(columns: list[Column]) -> Column:

@@ -143,8 +143,8 @@ def bm25(hits: DataFrame, postings: DataFrame, lengths: DataFrame, query: str, f
     if not rows:
         return hits.select("email_id", F.lit(0.0).alias("score"))
     freq = reduce(DataFrame.unionByName, rows)
-    stats = freq.groupBy("k").agg(F.count("*").alias("n")).join(lengths.agg(F.count("*").alias("N"), F.avg("length").alias("avg")), F.lit(True))
-    idf = F.greatest(F.ln((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
+    stats = freq.groupBy("k").agg(F.count("*").alias("n")).join(lengths.agg(F.count("*").alias("total"), F.avg("length").alias("avg")), F.lit(True))
+    idf = F.greatest(F.ln((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     norm = F.col("f") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("avg"))
     part = idf * F.col("f") * 2.2 / norm
     scored = freq.join(hits, "email_id", "left_semi").join(stats, "k").join(lengths, "email_id")

@@ -116,7 +116,7 @@ ATTACHMENTS_SQL = f"""attachments AS (
   SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || '.' || {_EXTS!r}[p_size % {len(_EXTS)} + 1] AS filename, 'application/octet-stream' AS mime_type,
     CAST(p_size AS BIGINT) AS size_bytes, sha256(p_brand || p_type) AS content_hash, 'att/' || p_partkey AS storage_path FROM part)"""
 
-QUEUES = ("click", "view", "purchase")
+QUEUES = ("click", "error", "purchase", "signup", "view")
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +133,8 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JOBS_SQL = """jobs AS (
-  SELECT CAST(event_id AS VARCHAR) AS id, event_type AS queue, ['active', 'completed', 'failed', 'waiting', 'waiting'][user_id % 5 + 1] AS state, epoch_ms(ts) AS run_at,
-    epoch_ms(ts) AS created_at, user_id, props FROM events)"""
+  SELECT CAST(event_id AS VARCHAR) AS id, event_type AS queue, ['active', 'completed', 'failed', 'waiting', 'waiting'][user_id % 5 + 1] AS state, epoch_us(ts) // 1000 AS run_at,
+    epoch_us(ts) // 1000 AS created_at, user_id, props FROM events)"""
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:

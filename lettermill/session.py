@@ -7,10 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings that results depend on. Everything else is left to the cluster.
+#: Settings that results or bounded memory depend on. Everything else is left to the cluster.
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # rows may be whole long texts: what a Python worker is sent at once stays small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
