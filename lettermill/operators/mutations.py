@@ -150,8 +150,8 @@ def sweep_tracking_assets(assets: DataFrame, emails: DataFrame) -> tuple[DataFra
     touched = assets.where(dead).select(F.col("email_id").alias("id")).distinct()
     status = remote_status(left).select(F.col("email_id").alias("id"), F.col("status").alias("__s"), F.col("archived").alias("__n"))
     joined = emails.join(touched.withColumn("__t", F.lit(True)), "id", "left").join(status, "id", "left")
-    moved = joined.withColumn("remote_content_status", F.when("__t", F.coalesce("__s", F.lit("skipped"))).otherwise(F.col("remote_content_status")))
-    moved = moved.withColumn("remote_content_asset_count", F.when("__t", F.coalesce("__n", F.lit(0))).otherwise(F.col("remote_content_asset_count")))
+    moved = joined.withColumn("remote_content_status", F.when(F.col("__t"), F.coalesce("__s", F.lit("skipped"))).otherwise(F.col("remote_content_status")))
+    moved = moved.withColumn("remote_content_asset_count", F.when(F.col("__t"), F.coalesce("__n", F.lit(0))).otherwise(F.col("remote_content_asset_count")))
     return left, moved.select(*emails.columns)
 
 
@@ -196,7 +196,7 @@ def clean_stale_sessions(sessions: DataFrame, sources: DataFrame, now_ms: int, s
     broken = sessions.where(stale & (F.col("completed_mailboxes") + F.col("failed_mailboxes") < F.col("total_mailboxes")))
     ids = broken.select(F.col("ingestion_source_id").alias("id")).distinct()
     moved = _marked(sources, ids)
-    moved = moved.withColumn("status", F.when("__hit", "error").otherwise(F.col("status"))).withColumn("updated_at", F.when("__hit", F.lit(now_ms).cast("long")).otherwise(F.col("updated_at")))
+    moved = moved.withColumn("status", F.when(F.col("__hit"), "error").otherwise(F.col("status"))).withColumn("updated_at", F.when(F.col("__hit"), F.lit(now_ms).cast("long")).otherwise(F.col("updated_at")))
     return sessions.where(~stale), moved.select(*sources.columns)
 
 
@@ -206,7 +206,7 @@ def finalize_import(sources: DataFrame, sessions: DataFrame, now_ms: int) -> Dat
     done = ended.groupBy(F.col("ingestion_source_id").alias("id")).agg(F.max_by(F.struct("completed_mailboxes", "failed_mailboxes", "error_messages", "is_initial_import"), F.struct("last_activity_at", F.col("id"))).alias("s"))
     failed = F.concat(F.lit("Import finished with "), F.col("s.failed_mailboxes").cast("string"), F.lit(" error(s):\n"), F.array_join("s.error_messages", "\n"))
     first = F.concat(F.lit("Import finished. Archived "), F.col("s.completed_mailboxes").cast("string"), F.lit(" mailbox(es)."))
-    message = F.when(F.col("s.failed_mailboxes") > 0, failed).when("s.is_initial_import", first).otherwise("Import completed successfully.")
+    message = F.when(F.col("s.failed_mailboxes") > 0, failed).when(F.col("s.is_initial_import"), first).otherwise("Import completed successfully.")
     status = F.when(F.col("status") == "paused", "paused").when(F.col("s.failed_mailboxes") > 0, "error").when(F.col("provider").isin("mbox_import", "eml_import"), "imported").otherwise("active")
     hit = F.col("s").isNotNull()
     moved = sources.join(done, "id", "left").withColumns({

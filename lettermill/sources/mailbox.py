@@ -353,8 +353,8 @@ def _office_text(kind: str, content: bytes) -> str:
 def export_mbox(df: DataFrame, folder: str) -> None:
     """Writes raw messages as mbox files, one a partition, with ``From `` lines quoted again.
 
-    Bytes pass as Latin-1 text, so ``read_mbox`` gives back what was written.
+    The text writer puts out a string's bytes as they are, so ``read_mbox`` gives back what was written.
     """
-    quoted = F.regexp_replace(F.decode("raw", _LATIN), r"(?m)^(>*From )", ">$1")
-    record = F.concat(F.lit("From MAILER-DAEMON Thu Jan  1 00:00:00 1970\n"), quoted)
-    df.select(record.alias("value")).write.option("encoding", _LATIN).option("lineSep", "\n").mode("overwrite").text(folder)
+    quoted = F.encode(F.regexp_replace(F.decode("raw", _LATIN), r"(?m)^(>*From )", ">$1"), _LATIN)
+    record = F.concat(F.lit(b"From MAILER-DAEMON Thu Jan  1 00:00:00 1970\n"), quoted).cast("string")
+    df.select(record.alias("value")).write.option("lineSep", "\n").mode("overwrite").text(folder)

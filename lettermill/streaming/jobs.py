@@ -38,13 +38,14 @@ def stream_import(spark: SparkSession, in_dir: str, archive_dir: str, sources: D
     files = spark.readStream.option("lineSep", "\nFrom ").text(in_dir)
     body = F.col("value").cast("binary")
     headed = F.when(F.substring(body, 1, 5) == F.lit(b"From "), body).otherwise(F.concat(F.lit(b"From "), body))
-    raw = files.select(F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("ordinal"), unescape_mbox(strip_envelope(headed)).alias("raw"))
+    raw = files.select(F.col("_metadata.file_path").alias("file_path"), unescape_mbox(strip_envelope(headed)).alias("raw"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # the batch's own earlier try must not count as archived already
         before = spark.read.schema(f"{_ARRIVED}, batch long").parquet(archive_dir).where(F.col("batch") != batch_id)
-        import_batch(batch, before, sources, source_id).write.mode("overwrite").parquet(f"{archive_dir}/batch={batch_id}")
+        numbered = batch.withColumn("ordinal", F.monotonically_increasing_id()).select("file_path", "ordinal", "raw")
+        import_batch(numbered, before, sources, source_id).write.mode("overwrite").parquet(f"{archive_dir}/batch={batch_id}")
 
     spark.createDataFrame([], _ARRIVED).write.mode("append").parquet(f"{archive_dir}/batch=-1")
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
