@@ -16,12 +16,13 @@ from lettermill.llm import mixing
 from lettermill.llm.langid import fit, predict
 from lettermill.llm.minhash import near_duplicates
 from lettermill.llm.packing import PackingConfig, pack
-from lettermill.session import materialize
+from lettermill.session import materialize, prepare
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the language model rejects: null texts, texts without letters, texts of no learned
     language. A null label is filled in with the language found; given labels stay."""
+    prepare(spark)
     known = predict(docs, fit(docs)).where(~F.col("rejected"))
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
@@ -59,7 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -178,9 +178,9 @@ def predict(docs: DataFrame, model: LangIdModel, text_col: str = "text", keep: l
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [counts(t.as_py(), cfg.width) for t in part.column(0)]
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                found = [counts(t.as_py(), cfg.width) for t in part.column(at_text)]
                 n = len(found)
                 langs, score, rejected = np.full(n, UNKNOWN, object), np.zeros(n), np.ones(n, bool)
                 known = [i for i, c in enumerate(found) if c is not None]
@@ -191,11 +191,12 @@ def predict(docs: DataFrame, model: LangIdModel, text_col: str = "text", keep: l
                     langs[known] = np.array(model.languages, object)[best]
                     score[known] = cosine.max(1).clip(0, 1)
                     rejected[known] = score[known] < model.floors[_length_class(raw)]
-                columns = [part.column(1 + k) for k in range(len(kept))]
+                columns = [part.column(k) for k in range(len(kept))]
                 columns += [pa.array(langs.tolist(), pa.string()), pa.array(score), pa.array(rejected)]
                 yield pa.RecordBatch.from_arrays(columns, names=kept + new)
 
-    rows = docs.select(F.col(text_col).alias("__text"), *kept)
+    at_text = kept.index(text_col) if text_col in kept else len(kept)
+    rows = docs.select(*kept, *([] if text_col in kept else [F.col(text_col).alias("__text")]))
     schema = T.StructType([docs.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return rows.mapInArrow(kernel, schema)
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lettermill.llm.blocks import block_pairs, forest, runs
-from lettermill.llm.words import shingles
+from lettermill.llm.words import forget_words, shingles
 from lettermill.operators.components import connected_components
 from lettermill.session import materialize
 
@@ -80,6 +80,7 @@ def signatures(docs: DataFrame, cfg: MinHashConfig, id_col: str = "doc_id", text
                 [ids, pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(coords, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "coords"],
             )
+        forget_words()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(kernel, "doc_id long, n_shingles long, set_a long, set_b long, coords array<long>")
@@ -170,7 +171,7 @@ def _confirming(batches: Iterator[pa.RecordBatch], cfg: MinHashConfig) -> Iterat
 def _with_sets(docs: DataFrame, cfg: MinHashConfig) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = 500
+            step = 100
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 sets = [shingles(t.as_py(), cfg.words).tobytes() for t in part.column("text")]
@@ -178,6 +179,7 @@ def _with_sets(docs: DataFrame, cfg: MinHashConfig) -> DataFrame:
                     [part.column("cluster"), part.column("n"), part.column("rep"), pa.array(sets, pa.binary())],
                     names=["cluster", "n", "rep", "shingles"],
                 )
+        forget_words()
 
     return docs.select("cluster", "n", "rep", "text").mapInArrow(kernel, "cluster long, n long, rep long, shingles binary")
 

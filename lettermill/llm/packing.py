@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lettermill.llm.lookup import count_below
-from lettermill.llm.tokens import encoder
+from lettermill.llm.tokens import encoder, forget_pieces
 from lettermill.session import materialize
 
 
@@ -80,8 +80,8 @@ def _placing(batches: Iterator[pa.RecordBatch], cfg: PackingConfig) -> Iterator[
     axes = _axes(cfg, _WIDTH)
     end = np.array([cfg.end_id], enc.dtype).tobytes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
             ids = [enc.encode(t.as_py() or "") + end for t in part.column("text")]
             points = np.zeros((len(ids), cfg.dims), np.float32)
             for k, raw in enumerate(ids):
@@ -98,6 +98,7 @@ def _placing(batches: Iterator[pa.RecordBatch], cfg: PackingConfig) -> Iterator[
                 [part.column("doc_id"), pa.array(key.astype(np.int64)), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "key", "doc_tokens", "ids"],
             )
+    forget_pieces()
 
 
 def _cutting(batches: Iterator[pa.RecordBatch], cfg: PackingConfig) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from lettermill.llm import mixing
 from lettermill.llm.packing import PackingConfig, pack
 from lettermill.llm.sharding import shard
 from lettermill.llm.tokenfile import TokenFileConfig, read_tokens, write_tokens
-from lettermill.session import scratch_path
+from lettermill.session import prepare, scratch_path
 
 
 def _vocabulary(name: str) -> str:
@@ -81,7 +81,7 @@ def op10_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(*sized.columns, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_bitplane_token_files": op2_bitplane_token_files,
     "op3_role_repair_chat": op3_role_repair_chat,
@@ -94,6 +94,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bounded_ring_sharding": op10_bounded_ring_sharding,
 }
 
+
+def _prepared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(prepare(spark), sf_dir)
+
+
+QUERIES = {name: _prepared(f) for name, f in _OPERATORS.items()}
+
 ORACLE_SQL: dict[str, str] = {
     "op8_poisson_mixing": mixing.oracle_sql(),
 }

@@ -24,7 +24,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lettermill.llm.tokens import encoder
+from lettermill.llm.tokens import encoder, forget_pieces
 
 
 @dataclass(frozen=True)
@@ -111,6 +111,7 @@ def _segments(batches: Iterator[pa.RecordBatch], cfg: TokenFileConfig) -> Iterat
                 yield close()
     if ids:
         yield close()
+    forget_pieces()
 
 
 def write_tokens(docs: DataFrame, path: str, cfg: TokenFileConfig, id_col: str = "doc_id", text_col: str = "text") -> None:

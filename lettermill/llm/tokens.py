@@ -14,7 +14,8 @@ import re
 
 import numpy as np
 
-_REMEMBERED = 500_000
+#: entries of a generation; a piece or part of two generations takes about 200 bytes
+_REMEMBERED = 200_000
 #: a blank with a word on either side; used only where a text has blanks in a row
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: letters that no normaliser recomposes, and marks without the apostrophe: pieces of
@@ -35,40 +36,60 @@ def _byte_letters() -> list[str]:
 _BYTE_LETTERS = _byte_letters()
 
 
-class _Parts(dict):
+class _Remembered(dict):
+    """Ids by text in two generations: what is used again moves to the young one, the rest goes."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, x: str) -> bytes:
+        ids = self.old.get(x)
+        if ids is None:
+            ids = self.find(x)
+        self[x] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > _REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
+
+class _Parts(_Remembered):
     """Ids of letter runs, mark runs and line ends, straight from the library's model."""
 
     def __init__(self, tok, lead: str, dtype: np.dtype):
         super().__init__()
         self.tokenize, self.lead, self.dtype = tok.model.tokenize, lead, dtype
 
-    def __missing__(self, x: str) -> bytes:
+    def find(self, x: str) -> bytes:
         if not self.lead and x == "\n":
             return b""
         shown = x if self.lead else x.lower()
         if not shown.isascii() or " " in shown or "\n" in shown:
             shown = "".join([_BYTE_LETTERS[b] for b in shown.encode()])
-        self[x] = ids = np.array([t.id for t in self.tokenize(shown)], self.dtype).tobytes()
-        return ids
+        return np.array([t.id for t in self.tokenize(shown)], self.dtype).tobytes()
 
 
-class _Pieces(dict):
+class _Pieces(_Remembered):
     """Ids of whole blank-separated pieces, with the blank before them where ids hold it."""
 
     def __init__(self, parts: _Parts, direct):
         super().__init__()
         self.parts, self.direct = parts, direct
 
-    def __missing__(self, piece: str) -> bytes:
+    def find(self, piece: str) -> bytes:
         lead = self.parts.lead
-        if _SIMPLE.fullmatch(piece):
-            found = _PARTS.findall(piece)
-            found[0] = lead + found[0]
-            ids = b"".join([self.parts[x] for x in found])
-        else:
-            ids = self.direct([lead + piece])[0].tobytes()
-        self[piece] = ids
-        return ids
+        if not _SIMPLE.fullmatch(piece):
+            return self.direct([lead + piece])[0].tobytes()
+        found = _PARTS.findall(piece)
+        found[0] = lead + found[0]
+        return b"".join([self.parts[x] for x in found])
 
 
 class Encoder:
@@ -104,9 +125,8 @@ class Encoder:
         if self.lead is None:
             return self._direct([text])[0].tobytes()
         pieces = text.split(" ") if "  " not in text else _BETWEEN.split(text)
-        for known in (self.pieces, self.parts):
-            if len(known) > _REMEMBERED:
-                known.clear()
+        self.pieces.age()
+        self.parts.age()
         ids = self.pieces.__getitem__
         if not self.lead:
             return b"".join(map(ids, pieces))
@@ -116,6 +136,14 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def forget_pieces() -> None:
+    """Frees what encoders remember, at the end of a task: workers live on, and others use their memory."""
+    for known in _encoders.values():
+        if known.lead is not None:
+            known.pieces.forget()
+            known.parts.forget()
+
+
 def encoder(path: str) -> Encoder:
     """One encoder a file and worker process."""
     if path not in _encoders:

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CACHED_WORDS = 600_000
+_CACHED_WORDS = 300_000
 
 
 class _WordHashes(dict):
@@ -20,6 +20,11 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def forget_words() -> None:
+    """Frees the remembered hashes, at the end of a task: workers live on, and others use their memory."""
+    _hashes.clear()
+
+
 def _mix(v: np.ndarray) -> np.ndarray:
     v = (v ^ (v >> np.uint64(32))) * _MIX
     return v ^ (v >> np.uint64(29))
