@@ -93,7 +93,9 @@ def choose_keeper(members: DataFrame, by: str = "min_id") -> DataFrame:
 
 def cluster_members(emails: DataFrame, links: DataFrame, attachments: DataFrame, ledger: DataFrame, strict_nonempty: bool = False) -> DataFrame:
     """``(class, min_id, id, sent_at, archived_at)`` of every cluster that isn't ignored."""
-    rooted = materialize(with_roots(duplicate_signals(emails, links, attachments)), "duplicates")
+    # texts are hashed once; edges, components and buckets read the signals several times
+    signals = materialize(duplicate_signals(emails, links, attachments), "signals")
+    rooted = materialize(with_roots(signals), "duplicates")
     likely = likely_groups(rooted, strict_nonempty)
     exact = exact_groups(rooted, likely).select(F.lit("exact").alias("class"), F.col("root").alias("min_id"), "id")
     rows = exact.unionByName(likely.select(F.lit("likely").alias("class"), F.col("bucket").alias("min_id"), "id"))
