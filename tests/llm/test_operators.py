@@ -7,6 +7,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,6 +314,49 @@ def test_embedding_links_match_brute_force(spark):
     assert embdedup.embedding_near_duplicates(spark.createDataFrame([], VECS)).count() == 0
 
 
+def topic(n, pairs, inner, dims=64, cosine=0.953, seed=4):
+    """``n`` unit vectors of one topic, mutual cosine about ``inner``, then a partner at ``cosine`` for each of the first ``pairs``."""
+    rng = np.random.default_rng(seed)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    centre = unit(rng.standard_normal((1, dims)))
+    own = rng.standard_normal((n, dims))
+    own = unit(own - (own @ centre.T) * centre)
+    aside = rng.standard_normal((pairs, dims))
+    aside -= (aside @ centre.T) * centre
+    aside = unit(aside - (aside * own[:pairs]).sum(1, keepdims=True) * own[:pairs])
+    c = (cosine - inner) / (1 - inner)
+    own = np.vstack([own, c * own[:pairs] + np.sqrt(1 - c * c) * aside])
+    return np.sqrt(inner) * centre + np.sqrt(1 - inner) * own
+
+
+def found_of_planted(spark, path, x, pairs, cfg):
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x.astype(np.float32)))}), path)
+    got = embdedup.embedding_near_duplicates(spark.read.parquet(path), cfg).select("vec_id", "component_id", "n_links").toPandas().set_index("vec_id")
+    assert len(got) == len(x)
+    first, second = got.loc[range(pairs)], got.loc[range(len(x) - pairs, len(x))]
+    return (first.component_id.to_numpy() == second.component_id.to_numpy()).mean(), got
+
+
+def test_embedding_pairs_of_a_dense_topic(spark, tmp_path):
+    recall, _ = found_of_planted(spark, f"{tmp_path}/v.parquet", topic(100_000, 500, 0.85), 500, embdedup.ProjectionConfig())
+    assert recall == 1
+
+
+def test_embedding_buckets_cut_to_the_stated_miss(spark, tmp_path):
+    x = topic(8000, 300, 0.7)
+    cfg = embdedup.ProjectionConfig(buckets=(256,), row_cost=0, pair_block=128, block=32)
+    trees = embdedup.plan(x, len(x), cfg)
+    assert len(trees) >= 16 and len(set(trees[0].bucket(x).tolist())) > 8
+    recall, got = found_of_planted(spark, f"{tmp_path}/v.parquet", x, 300, cfg)
+    assert recall >= 0.99
+    near = x.astype(np.float32).astype(np.float64)
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    assert abs(got.n_links.sum() - ((near @ near.T >= 0.95).sum() - len(x))) <= 6
+
+
 def test_forest_recall_and_order(spark):
     x = vectors(600, 24, 7)
     rows = [(k, [float(v) for v in r], 0) for k, r in enumerate(x)] + [(1000, None, 0), (1100, [0.0] * 24, 0), (1200, [float("inf")] * 24, 0)]
