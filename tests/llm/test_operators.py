@@ -260,6 +260,20 @@ def test_licenses_of_the_table(spark):
     assert got == want
 
 
+def scanned(spark, texts):
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return sorted((r.doc_id, r.line, r.license) for r in got if r.exact)
+
+
+def test_licenses_inside_prose(spark):
+    prose = " ".join(documents(spark).orderBy("doc_id").limit(20).toPandas().text).split()
+    cases = [(name, n) for name in licenses.TEMPLATES for n in (0, 10, 20, 40, 80)]
+    texts = [" ".join([*prose[k * 37 : k * 37 + n], licenses.TEMPLATES[name], *prose[k * 37 + n : k * 37 + 2 * n]]) for k, (name, n) in enumerate(cases)]
+    assert len(prose) > len(cases) * 37 + 160
+    assert scanned(spark, texts) == [(k, 0, name) for k, (name, n) in enumerate(cases)]
+    assert scanned(spark, [t.upper() for t in licenses.TEMPLATES.values()]) == [(k, 0, name) for k, name in enumerate(licenses.TEMPLATES)]
+
+
 # Language
 
 
