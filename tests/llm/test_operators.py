@@ -4,6 +4,7 @@ import bisect
 import collections
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -274,6 +275,18 @@ def test_licenses_inside_prose(spark):
     assert scanned(spark, [t.upper() for t in licenses.TEMPLATES.values()]) == [(k, 0, name) for k, name in enumerate(licenses.TEMPLATES)]
 
 
+def test_licenses_wrapped_many_and_changed(spark):
+    t = licenses.TEMPLATES
+    wrapped = ["\n".join(f" * {x}" for x in textwrap.wrap(t[k], 34)) for k in t]
+    assert scanned(spark, wrapped) == [(k, 0, name) for k, name in enumerate(t)]
+    far = "copyright " + "so " * 29 + t["MIT-grant"] + " and more" * 60 + " " + t["MIT-grant"]
+    both = f"{t['MIT']} {t['All-rights-reserved']} {t['MIT']}\n\n{t['GPL-2.0']}"
+    assert scanned(spark, [far, both]) == [(0, 0, "MIT-grant")] * 2 + [(1, 0, "All-rights-reserved"), (1, 0, "MIT"), (1, 0, "MIT"), (1, 2, "GPL-2.0")]
+    changed = t["MIT-grant"].replace("is hereby granted", "is herewith granted").replace("any person", "any one person")
+    (row,) = licenses.scan_licenses(spark.createDataFrame([(1, f"so {changed}; so")], "doc_id long, text string")).collect()
+    assert (row.license, row.missing, row.extra, row.exact) == ("MIT-grant", ["hereby"], ["herewith", "one"], False) and row.block == f"{changed};"
+
+
 # Language
 
 
