@@ -3,12 +3,13 @@
 A text's lower-cased letters, with every other run as one blank, give hashed n-grams
 of one to three characters; the vector is damped counts times inverse document
 frequency, scaled to length one. Each language has several centroids from spherical
-k-means. The nearest centroid by cosine gives the language, and a text further from
-it than nearly all training texts of its length were is rejected.
+k-means. The nearest centroid by cosine gives the language, and a text little nearer to
+it than random letters of its length are, against texts kept from training, is rejected.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,9 @@ class LangIdConfig:
     """``per_language`` bounds the labelled rows a language that centroids are fitted on,
 
     those of least id hash. Document frequencies come from all labelled rows.
-    ``reject_share`` is the share of training texts of a length class that may lie
-    beyond the floor of cosine, which is then lowered by ``reject_margin``.
+    ``reject_share`` of the texts of a length class, scored by centroids that were fitted
+    without them, give its low genuine cosine. The floor rises from the cosine of random
+    letters by ``reject_rise`` of the way to that.
     """
 
     width: int = 4096
@@ -34,8 +36,8 @@ class LangIdConfig:
     rounds: int = 8
     per_language: int = 1500
     max_languages: int = 500
-    reject_share: float = 0.001
-    reject_margin: float = 0.2
+    reject_share: float = 0.01
+    reject_rise: float = 0.1
     seed: int = 11
 
 
@@ -88,6 +90,33 @@ def _length_class(rows: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(1 + rows.sum(1) / 3).astype(int), _LENGTHS - 1)
 
 
+def _noise(texts: pd.Series, c: np.ndarray, idf: np.ndarray, cfg: LangIdConfig) -> np.ndarray:
+    """The highest cosine that a few texts of random letters, of those that the texts use, reach in each length class."""
+    seen = Counter()
+    for text in texts:
+        seen.update(x for x in text.lower() if x.isalpha())
+    letters = sorted(x for x, n in seen.items() if n * 100_000 >= seen.total())
+    rng = np.random.default_rng(cfg.seed)
+    alphabet = np.array(letters + [" "] * max(1, len(letters) // 5))
+    out = np.zeros(_LENGTHS)
+    for k in range(_LENGTHS):
+        drawn = [counts("x" if k == 0 else "".join(rng.choice(alphabet, int(1.4 * 2**k))), cfg.width) for _ in range(8)] if k < 15 else []
+        drawn = [d for d in drawn if d is not None]
+        out[k] = (_unit(np.array(drawn), idf) @ c.T).max() if drawn else out[k - 1]
+    return out
+
+
+def _floors(scores: np.ndarray, lengths: np.ndarray, noise: np.ndarray, cfg: LangIdConfig) -> np.ndarray:
+    """The least cosine of a length class; a class of few texts takes its neighbours' too."""
+    floors = np.zeros(_LENGTHS)
+    for k in range(_LENGTHS if len(scores) else 0):
+        reach = next(r for r in range(_LENGTHS) if r == _LENGTHS - 1 or (abs(lengths - k) <= r).sum() >= 100)
+        low = np.quantile(scores[abs(lengths - k) <= reach], cfg.reject_share)
+        # under some eight letters random ones are as near as words
+        floors[k] = max(0.0, noise[k] + cfg.reject_rise * (low - noise[k]) if low > noise[k] else low) if k >= 3 else 0.0
+    return floors
+
+
 def _cluster(x: np.ndarray, cfg: LangIdConfig) -> np.ndarray:
     rng = np.random.default_rng(cfg.seed)
     k = min(cfg.centroids, len(x))
@@ -141,25 +170,24 @@ def fit(labelled: DataFrame, cfg: LangIdConfig = LangIdConfig(), id_col: str = "
         pdf = pdf.sort_values(["draw", "id"]).head(cfg.per_language)
         got = [c for c in (counts(t, cfg.width) for t in pdf["text"]) if c is not None]
         if not got:
-            return pd.DataFrame({"lang": [], "centroid": [], "scores": [], "lengths": []})
+            return pd.DataFrame({"lang": [], "centroid": [], "scores": [], "lengths": [], "noise": []})
         raw = np.array(got)
         x = _unit(raw, idf).astype(np.float32)
         c = _cluster(x, cfg)
-        best, length = (x @ c.T).max(1), _length_class(raw)
+        folds = [slice(0, None, 2), slice(1, None, 2)]
+        parts = [(own, other) for own, other in zip(folds, folds[::-1]) if len(x[own]) and len(x[other])]
+        best = np.concatenate([(x[own] @ _cluster(x[other], cfg).T).max(1) for own, other in parts] or [[]])
+        length = np.concatenate([_length_class(raw[own]) for own, _ in parts] or [[]]).astype(int)
         extra = [[]] * (len(c) - 1)  # the scores stand in the first row
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(c), "scores": [best, *extra], "lengths": [length, *extra]})
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(c), "scores": [best, *extra], "lengths": [length, *extra], "noise": [_noise(pdf["text"], c, idf, cfg), *extra]})
 
-    schema = "lang string, centroid array<float>, scores array<float>, lengths array<int>"
+    schema = "lang string, centroid array<float>, scores array<float>, lengths array<int>, noise array<float>"
     fitted = sample.select("lang", "id", "draw", "text").groupBy("lang").applyInPandas(centroids, schema).collect()
-    fitted.sort(key=lambda r: (r.lang, -len(r.scores)))
+    fitted.sort(key=lambda r: (r.lang, -len(r.noise)))
     scores = np.array([s for r in fitted for s in r.scores], np.float64)
     lengths = np.array([s for r in fitted for s in r.lengths], int)
-    floors = np.zeros(_LENGTHS)
-    for k in range(_LENGTHS):
-        own = np.sort(scores[lengths <= k]) if (lengths <= k).any() else np.zeros(1)
-        if (lengths == k).sum() >= 50:
-            own = np.sort(scores[lengths == k])
-        floors[k] = max(0.0, own[int(cfg.reject_share * len(own))] - cfg.reject_margin)
+    noise = np.max([np.zeros(_LENGTHS), *[r.noise for r in fitted if r.noise]], axis=0)
+    floors = _floors(scores, lengths, noise, cfg)
     matrix = np.array([r.centroid for r in fitted], np.float64).reshape(len(fitted), cfg.width)
     return LangIdModel([r.lang for r in fitted], matrix, idf, floors, cfg)
 

@@ -307,6 +307,24 @@ def test_language_awkward_rows(spark, odd, none):
     assert langid.predict(none, model).count() == 0 and {r.lang_pred for r in langid.predict(odd, empty).collect()} == {"und"}
 
 
+def test_language_rejects_what_it_never_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(5)
+    unseen = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. ", "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler. ", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. ",
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(20_000)),
+    ]
+    rows = [(10_000 + 10 * k + i, (t * (n // len(t) + 1))[:n]) for k, n in enumerate((40, 160, 600, 3000, 20_000)) for i, t in enumerate(unseen)]
+    model = langid.fit(docs.where(~langid.held_out()))
+    assert [r.doc_id for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).where("not rejected").collect()] == []
+    clean = docs.where(langid.held_out() & F.col("text").rlike("[A-Za-z]"))
+    cut = [clean.select("doc_id", F.expr(f"substring(text, 1, {n})").alias("text")) for n in (40, 160, 600, 100_000)]
+    for df in cut:
+        r = langid.predict(df, model).agg(F.avg(F.col("rejected").cast("int")), F.count("*")).first()
+        assert r[0] <= 0.01 and r[1] > 100
+
+
 # Embeddings
 
 
