@@ -1,9 +1,11 @@
-"""Tokenising whole texts with the tokenizers library, piece by remembered piece.
-
-A byte-level or end-of-word BPE never joins ids across a blank between two words,
-so a text's ids are those of its blank-separated pieces one after another. Each
-worker remembers the ids of the pieces it has met, and of their letter runs, and
-sends only new ones to the library. Other kinds of tokenizer encode each text directly.
+"""Tokenising whole texts with the tokenizers library, part by remembered part.
+
+A BPE model sees a text part by part: its pre-tokenizer cuts the text into runs of letters,
+digits, other signs and blanks, and ids never reach over such a cut. Where a text holds
+only characters that every Unicode table classes alike, one pattern finds the same parts.
+Each worker remembers, under a bound, the ids of the parts it has met and asks the library's
+model for the rest. Texts with other characters go piece by blank-separated piece, those
+with strings of added tokens go whole. Other kinds of tokenizer encode each text directly.
 """
 
 from __future__ import annotations
@@ -11,19 +13,24 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from itertools import groupby
 
 import numpy as np
 
-#: entries of a generation; a piece or part of two generations takes about 200 bytes
-_REMEMBERED = 200_000
-#: a blank with a word on either side; used only where a text has blanks in a row
+#: parts of a generation, of two at most; one takes about 150 bytes, longer ones are not kept
+_REMEMBERED = 500_000
+_LONGEST = 64
+#: letters that no normaliser recomposes and that lower-case to one letter of their own
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ɏ"
+_SIGNS = r"!-/:-@\[-`{-~‐-―‘-„…"
+_SAFE = re.compile(f"[{_LETTERS}{_SIGNS}0-9 \t\n\r]*")
+_CLITICS = "'(?:s|t|re|ve|m|ll|d)"
+#: the parts of such a text, by kind of pre-tokenizer
+_BYTE_PARTS = re.compile(rf" ?[{_LETTERS}]+|{_CLITICS}| ?[0-9]+| ?[{_SIGNS}]+|\s+(?!\S)|\s+")
+_WORD_PARTS = re.compile(f"[{_LETTERS}]+|{_CLITICS}|[0-9]|[{_SIGNS}]+")
+#: a blank with a word on either side: no part of a text reaches over it
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-#: letters that no normaliser recomposes, and marks without the apostrophe: pieces of
-#: these alone fall apart into letter runs, mark runs and line ends the same way everywhere
-_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f]+"
-_MARKS = r"[!-&(-/:-@\[-`{-~]+"
-_SIMPLE = re.compile(f"(?:{_LETTERS}(?:{_MARKS})?(?:\n(?=.)|$))+", re.S)
-_PARTS = re.compile(f"{_LETTERS}|{_MARKS}|\n")
 
 
 def _byte_letters() -> list[str]:
@@ -33,20 +40,22 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-_BYTE_LETTERS = _byte_letters()
+_BYTE_LETTERS = {b: x for b, x in enumerate(_byte_letters())}
 
 
 class _Remembered(dict):
-    """Ids by text in two generations: what is used again moves to the young one, the rest goes."""
+    """Ids by string in two generations: what is used again moves to the young one, the rest goes."""
 
-    def __init__(self) -> None:
+    def __init__(self, find):
         super().__init__()
-        self.old: dict[str, bytes] = {}
+        self.find, self.old = find, {}
 
     def __missing__(self, x: str) -> bytes:
         ids = self.old.get(x)
         if ids is None:
             ids = self.find(x)
+            if len(x) > _LONGEST:
+                return ids
         self[x] = ids
         return ids
 
@@ -55,97 +64,70 @@ class _Remembered(dict):
             self.old = dict(self)
             self.clear()
 
-    def forget(self) -> None:
-        self.old = {}
-        self.clear()
-
-
-class _Parts(_Remembered):
-    """Ids of letter runs, mark runs and line ends, straight from the library's model."""
-
-    def __init__(self, tok, lead: str, dtype: np.dtype):
-        super().__init__()
-        self.tokenize, self.lead, self.dtype = tok.model.tokenize, lead, dtype
-
-    def find(self, x: str) -> bytes:
-        if not self.lead and x == "\n":
-            return b""
-        shown = x if self.lead else x.lower()
-        if not shown.isascii() or " " in shown or "\n" in shown:
-            shown = "".join([_BYTE_LETTERS[b] for b in shown.encode()])
-        return np.array([t.id for t in self.tokenize(shown)], self.dtype).tobytes()
-
-
-class _Pieces(_Remembered):
-    """Ids of whole blank-separated pieces, with the blank before them where ids hold it."""
-
-    def __init__(self, parts: _Parts, direct):
-        super().__init__()
-        self.parts, self.direct = parts, direct
-
-    def find(self, piece: str) -> bytes:
-        lead = self.parts.lead
-        if not _SIMPLE.fullmatch(piece):
-            return self.direct([lead + piece])[0].tobytes()
-        found = _PARTS.findall(piece)
-        found[0] = lead + found[0]
-        return b"".join([self.parts[x] for x in found])
-
 
 class Encoder:
-    """Encodes texts to little-endian ids of ``dtype``; special token strings are ordinary text."""
+    """Encodes texts to little-endian ids of ``dtype``, as ``Tokenizer.from_file(path)`` does without
+    special tokens around them; ``specials_as_text`` takes strings of special tokens as ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials_as_text: bool = False):
         os.environ["RAYON_NUM_THREADS"] = "1"
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = specials_as_text
         self.tok.no_padding()
         self.tok.no_truncation()
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
-        if before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer"):
-            self.lead: str | None = " "
-        elif model.get("end_of_word_suffix") == "</w>":
-            self.lead = ""
+        before, model, added = spec.get("pre_tokenizer") or {}, spec.get("model") or {}, spec.get("added_tokens") or []
+        #: texts that hold one of these are encoded whole: an added token also cuts its neighbours
+        self.added = [a["content"] for a in added if not (specials_as_text and a["special"])]
+        plain = all(a["special"] and not a["normalized"] for a in added)
+        if plain and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer"):
+            self.parts, self.lead = _BYTE_PARTS, " "
+        elif plain and model.get("end_of_word_suffix") == "</w>":
+            self.parts, self.lead = _WORD_PARTS, ""
         else:
-            self.lead = None
+            self.parts = None
             return
-        self.parts = _Parts(self.tok, self.lead, self.dtype)
-        self.pieces = _Pieces(self.parts, self._direct)
-
-    def _direct(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if self.lead is None:
-            return self._direct([text])[0].tobytes()
-        pieces = text.split(" ") if "  " not in text else _BETWEEN.split(text)
-        self.pieces.age()
-        self.parts.age()
-        ids = self.pieces.__getitem__
-        if not self.lead:
-            return b"".join(map(ids, pieces))
-        return self._direct(pieces[:1])[0].tobytes() + b"".join(map(ids, pieces[1:]))
+        self.known = _Remembered(self._part)
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
 
-_encoders: dict[str, Encoder] = {}
+    def _direct(self, text: str) -> bytes:
+        return self._bytes(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
+    def _part(self, x: str) -> bytes:
+        shown = x if x.isascii() and x.isalnum() else x.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return self._bytes([t.id for t in self.tok.model.tokenize(shown)])
 
-def forget_pieces() -> None:
-    """Frees what encoders remember, at the end of a task: workers live on, and others use their memory."""
-    for known in _encoders.values():
-        if known.lead is not None:
-            known.pieces.forget()
-            known.parts.forget()
+    def _safe(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.parts.findall(text if self.lead else text.lower())))
 
-
-def encoder(path: str) -> Encoder:
-    """One encoder a file and worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    def encode(self, text: str) -> bytes:
+        if self.parts is None or any(a in text for a in self.added):
+            return self._direct(text)
+        self.known.age()
+        if _SAFE.fullmatch(text):
+            return self._safe(text)
+        first, *rest = text.split(" ") if "  " not in text else _BETWEEN.split(text)
+        pieces = [first, *(self.lead + x for x in rest)]
+        out = []
+        for safe, run in groupby(pieces, lambda x: _SAFE.fullmatch(x) is not None):
+            own = ("" if self.lead else " ").join(run)
+            out.append(self._safe(own) if safe else self._direct(own))
+        return b"".join(out)
+
+
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, specials_as_text: bool = False) -> Encoder:
+    """One encoder a file, and way with special tokens, and worker process."""
+    key = (path, specials_as_text)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]

@@ -114,12 +114,28 @@ def test_minhash_awkward_rows(spark, odd, none):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name):
-    enc = tokens.Encoder(vocabulary(name))
-    rng = random.Random(3)
-    parts = ["a", "foo", "The", "é.", " ", "  ", "\n", "\t", "'s", "é", "23", "!", "\x7f", " ", "\x1c", "<|endoftext|>", "İ", "ß", "漢字", "😀", "\r\n", "Ω", "_", "a.\nB"]
-    for _ in range(1500):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        assert enc.encode(text) == enc._direct([text])[0].tobytes(), text
+    from tokenizers import Tokenizer
+
+    enc, library = tokens.Encoder(vocabulary(name)), Tokenizer.from_file(vocabulary(name))
+    parts = ["a", "foo", "The", "é.", " ", "  ", "\n", "\n\n", "\t", "'s", "'", "'RE", "é", "23", "!", "\x7f", "\x85", "\u00a0", "\u2028", "\x1c", "İ", "ß", "ŉ", "\u0301", "漢字", "мир", "Σας", "😀", "\r\n", "Ω", "_", "a.\nB", "“", "”", "’s", "–", "…", "½", "٣", "x" * 70]
+    specials = [t.content for t in library.get_added_tokens_decoder().values()]
+    for seed, known in ((3, parts), (4, [*parts[:8], *specials, specials[0].upper(), specials[0][:-1]])):
+        rng = random.Random(seed)
+        for _ in range(4000):
+            text = "".join(rng.choice(known) for _ in range(rng.randint(0, 14)))
+            assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    library.encode_special_tokens = True
+    text = f"x {specials[0]} y{specials[0]}"
+    plain = tokens.Encoder(vocabulary(name), specials_as_text=True)
+    assert np.frombuffer(plain.encode(text), enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_forgets_under_its_bound(monkeypatch):
+    monkeypatch.setattr(tokens, "_REMEMBERED", 5)
+    enc = tokens.Encoder(vocabulary("word_bpe_49k.json"))
+    texts = [f"word{k} other {chr(97 + k)}ab and the same, twice" for k in range(20)]
+    assert [enc.encode(t) for t in texts] == [enc._direct(t) for t in texts]
+    assert len(enc.known) < 20 and len(enc.known.old) < 20
 
 
 @pytest.mark.parametrize("unit", ["bit", "byte"])
