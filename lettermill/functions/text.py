@@ -45,9 +45,9 @@ def normalize_duplicate_text(c: Column | str) -> Column:
 
 
 def duplicate_hash(c: Column | str) -> Column:
-    """Null for an empty or null value, else its sha256."""
-    c = text_column(c)
-    return F.when(c != "", F.sha2(c, 256))
+    """Null for an empty or null value, else its sha256; ``c`` is computed once."""
+    hashed = F.transform(F.array(text_column(c)), lambda x: F.when(x != "", F.sha2(x, 256)))
+    return F.get(hashed, F.lit(0))
 
 
 def recipient_fingerprint(recipients: Column | str) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lettermill.functions.text import duplicate_hash, length_prefixed
-from lettermill.operators.components import connected_components
+from lettermill.operators.components import connected_components, join_hot
 from lettermill.session import materialize
 
 SEMANTIC = ["subject_hash", "sender", "recipient_fp", "sent_at", "body_hash", "attachment_fp"]
@@ -48,7 +48,7 @@ def _stars(signals: DataFrame, keys: list) -> DataFrame:
     """An edge from the least id of each key to every other: never pairs."""
     keyed = signals.select("id", F.struct(*keys).alias("k"))
     least = keyed.groupBy("k").agg(F.min("id").alias("u"), F.count("*").alias("n")).where("n > 1").select("k", "u")
-    return keyed.join(least, "k").where("id <> u").select("u", F.col("id").alias("v"))
+    return join_hot(keyed, least, "k").where("id <> u").select("u", F.col("id").alias("v"))
 
 
 def exact_edges(signals: DataFrame) -> DataFrame:
@@ -72,14 +72,14 @@ def likely_groups(rooted: DataFrame, strict_nonempty: bool = False) -> DataFrame
     rows = rooted.where("subject_hash is not null or body_hash is not null") if strict_nonempty else rooted
     keyed = rows.select("id", "root", F.struct(*SEMANTIC).alias("k"))
     shared = keyed.groupBy("k").agg(F.min("id").alias("bucket"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    return keyed.join(shared.select("k", "bucket"), "k").select("id", "root", "bucket")
+    return join_hot(keyed, shared.select("k", "bucket"), "k").select("id", "root", "bucket")
 
 
 def exact_groups(rooted: DataFrame, likely: DataFrame) -> DataFrame:
     """``(id, root)`` of components of several emails that no likely group touches."""
     several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
     clear = several.join(likely.select("root").distinct(), "root", "left_anti")
-    return rooted.select("id", "root").join(clear, "root", "left_semi")
+    return join_hot(rooted.select("id", "root"), clear, "root", "left_semi")
 
 
 def drop_ignored(clusters: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -131,8 +131,7 @@ def approve_all_exact(emails: DataFrame, members: DataFrame, now_ms: int) -> tup
     from lettermill.operators.mutations import soft_delete
 
     exact = members.where("class = 'exact'")
-    first = Window.partitionBy("min_id").orderBy("sent_at", "archived_at", "id")
-    rest = exact.withColumn("nth", F.row_number().over(first)).where("nth > 1").select("id").distinct()
+    rest = join_hot(exact, choose_keeper(exact), "min_id").where("id <> keeper").select("id").distinct()
     return soft_delete(emails, rest, now_ms)
 
 
