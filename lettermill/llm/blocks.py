@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows of equal keys, as one table per run; rows arrive sorted by keys."""
-    held: list[pa.RecordBatch] = []
+def segments(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Consecutive rows of equal keys, a slice of one batch at a time, and whether the keys are new; rows arrive sorted by keys."""
     last = None
     for batch in batches:
         n = batch.num_rows
@@ -21,17 +20,38 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         change = np.zeros(n, bool)
         for c in columns:
             change[1:] |= c[1:] != c[:-1]
-        first = tuple(c[0] for c in columns)
-        change[0] = last is not None and first != last
-        last = tuple(c[-1] for c in columns)
-        start = 0
-        for cut in np.flatnonzero(change):
-            if cut > start:
-                held.append(batch.slice(start, cut - start))
-            if held:
-                yield pa.Table.from_batches(held)
-            held, start = [], cut
-        held.append(batch.slice(start))
+        cuts = [0, *np.flatnonzero(change).tolist(), n]
+        for a, b in zip(cuts, cuts[1:]):
+            first = tuple(c[a] for c in columns)
+            yield first != last, batch.slice(a, b - a)
+            last = first
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows of equal keys, as one table per run; rows arrive sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    for new, part in segments(batches, keys):
+        if new and held:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of many whole groups of one key each; rows arrive sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.asarray(batch.column(key))
+        cut = int(np.searchsorted(values, values[-1]))  # the last group may go on in the next batch
+        if cut or (held and held[-1].column(key)[-1].as_py() != values[-1]):
+            done = [*held, batch.slice(0, cut)]
+            held = []
+            yield pa.Table.from_batches(done)
+        held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held)
 
