@@ -5,9 +5,10 @@ ends with the assistant. Each turn of a conversation is kept, merged into the me
 before it, or given another role, and empty messages may be put in; a shortest path over
 the automaton of legal turns picks the cheapest way.
 
-The path is found block by block: a block of turns is a matrix of least costs from
-state to state, matrices of a conversation are chained, and each block is then solved
-between its own two states. So no task holds a whole conversation, however long.
+The path is found block by block: all turns are range-sorted and cut into blocks by their
+place, a block of turns is a matrix of least costs from state to state, matrices of a
+conversation are chained, and each block is then solved between its own two states. So no
+task holds a whole conversation, however long, and equal or missing turn numbers change nothing.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from lettermill.llm.blocks import runs
+from lettermill.llm.blocks import runs, segments, whole
+from lettermill.session import materialize
 
 ROLES = ["system", "user", "assistant"]
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -30,7 +33,7 @@ _FOREVER = 1 << 40
 class ChatConfig:
     """Costs of the repairs; ``unknown`` is that of naming a null or foreign role.
 
-    ``block_turns``: turn numbers of a block. ``before, after``: the marks of a rendered message.
+    ``block_turns``: turns of a block at most. ``before, after``: the marks of a rendered message.
     """
 
     merge: int = 1
@@ -95,43 +98,64 @@ def _forward(given: np.ndarray, entry: int, ways: list[list[Step]]) -> tuple[lis
 
 def _matrices(batches: Iterator[pa.RecordBatch], cfg: ChatConfig) -> Iterator[pa.RecordBatch]:
     ways = steps(cfg)
-    for run in runs(batches, ["conv", "block"]):
+    for run in runs(batches, ["conv", "known", "block"]):
         given = run.column("given").to_numpy()
         got = [_forward(given, s, ways) for s in range(4)]
-        columns = [run.column("conv")[:1].combine_chunks(), run.column("block")[:1].combine_chunks()]
+        columns = [run.column(k)[:1].combine_chunks() for k in ("conv", "known", "block")]
         columns += [pa.array([sum((g[k] for g in got), [])], pa.list_(pa.int64())) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays(columns, names=["conv", "block", "costs", "opened"])
+        yield pa.RecordBatch.from_arrays(columns, names=["conv", "known", "block", "costs", "opened"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch], cfg: ChatConfig) -> Iterator[pa.RecordBatch]:
+    """Each turn's block, numbered in order within its conversation, and its place in the block."""
+    first, at = TaskContext.get().partitionId() << 32, 0
+    for new, part in segments(batches, ["conv", "known"]):
+        at = 0 if new else at
+        places = np.arange(at, at + part.num_rows)
+        at += part.num_rows
+        columns = [part.column("conv"), part.column("known"), pa.array(first + places // cfg.block_turns), pa.array(places % cfg.block_turns), part.column("given"), part.column("text")]
+        yield pa.RecordBatch.from_arrays(columns, names=["conv", "known", "block", "place", "given", "text"])
 
 
 def _chained(batches: Iterator[pa.RecordBatch], cfg: ChatConfig) -> Iterator[pa.RecordBatch]:
-    for run in runs(batches, ["conv"]):
-        costs, opened = (np.array(run.column(k).to_pylist()).reshape(-1, 4, 4) for k in ("costs", "opened"))
-        total, back = np.array([0, _FOREVER, _FOREVER, _FOREVER]), []
-        for c in costs:
-            ways = total[:, None] + c
-            back.append(ways.argmin(0))
-            total = ways.min(0)
-        ending = total + np.array([0, 2 * cfg.insert, cfg.insert, 0])
-        state = int(ending.argmin())
-        entry, leave = np.zeros(len(costs), int), np.zeros(len(costs), int)
-        for k in range(len(costs) - 1, -1, -1):
-            leave[k], entry[k] = state, back[k][state]
-            state = int(entry[k])
-        count = opened[np.arange(len(costs)), entry, leave]
-        first = np.cumsum(count) - count
-        last = np.arange(len(costs)) == len(costs) - 1
-        columns = [run.column("conv").combine_chunks(), run.column("block").combine_chunks()]
-        columns += [pa.array(entry, pa.int32()), pa.array(leave, pa.int32()), pa.array(first, pa.int64()), pa.array(last)]
-        yield pa.RecordBatch.from_arrays(columns, names=["conv", "block", "entry", "leave", "first", "last"])
+    """The states around each block on the cheapest way, for many conversations at once."""
+    for table in whole(batches, "conv"):
+        costs, opened = (table.column(k).combine_chunks().flatten().to_numpy().reshape(-1, 4, 4) for k in ("costs", "opened"))
+        conv, known, n = table.column("conv").to_numpy(), table.column("known").to_numpy(), table.num_rows
+        start = np.flatnonzero(np.append(True, (conv[1:] != conv[:-1]) | (known[1:] != known[:-1])))
+        blocks = np.diff(np.append(start, n))
+        back = np.zeros((n, 4), np.int64)
+        total = np.tile([0, _FOREVER, _FOREVER, _FOREVER], (len(start), 1))
+        open_ = np.arange(len(start))
+        for k in range(int(blocks.max())):
+            open_ = open_[blocks[open_] > k]
+            ways = total[open_][:, :, None] + costs[start[open_] + k]
+            back[start[open_] + k] = ways.argmin(1)
+            total[open_] = ways.min(1)
+        state = (total + np.array([0, 2 * cfg.insert, cfg.insert, 0])).argmin(1)
+        entry, leave = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for k in range(int(blocks.max()) - 1, -1, -1):
+            on = np.flatnonzero(blocks > k) if k else np.arange(len(start))
+            rows = start[on] + k
+            leave[rows] = state[on]
+            state[on] = entry[rows] = back[rows, state[on]]
+        count = opened[np.arange(n), entry, leave]
+        before = np.cumsum(count) - count
+        first = before - np.repeat(before[start], blocks)
+        last = np.zeros(n, bool)
+        last[start + blocks - 1] = True
+        columns = [table.column(k).combine_chunks() for k in ("conv", "known", "block")]
+        columns += [pa.array(entry.astype(np.int32)), pa.array(leave.astype(np.int32)), pa.array(first), pa.array(last)]
+        yield pa.RecordBatch.from_arrays(columns, names=["conv", "known", "block", "entry", "leave", "first", "last"])
 
 
 def _solved(batches: Iterator[pa.RecordBatch], cfg: ChatConfig) -> Iterator[pa.RecordBatch]:
     ways = steps(cfg)
-    names = ["conv", "message", "piece", "role", "text", "turns", "relabelled", "cost"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
-    for run in runs(batches, ["conv", "block"]):
+    names = ["conv", "known", "message", "piece", "role", "text", "turns", "relabelled", "cost"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+    for run in runs(batches, ["conv", "known", "block"]):
         given, texts = run.column("given").to_numpy(), run.column("text").to_pylist()
-        conv, entry, state, first, last = (run.column(k)[0].as_py() for k in ("conv", "entry", "leave", "first", "last"))
+        conv, known, entry, state, first, last = (run.column(k)[0].as_py() for k in ("conv", "known", "entry", "leave", "first", "last"))
         block = run.column("block")[0].as_py()
         leave = state
         back = _forward(given, entry, ways)[2]
@@ -145,20 +169,20 @@ def _solved(batches: Iterator[pa.RecordBatch], cfg: ChatConfig) -> Iterator[pa.R
             cost = step.cost
             if step.inserted is not None:
                 message += 1
-                out.append([conv, message, block, ROLES[step.inserted - 1], [], 0, 0, cfg.insert])
+                out.append([conv, known, message, block, ROLES[step.inserted - 1], [], 0, 0, cfg.insert])
                 cost -= cfg.insert
             if step.merged and out:
-                out[-1][4].append(text)
-                out[-1][5:] = [out[-1][5] + 1, out[-1][6] + changed, out[-1][7] + cost]
+                out[-1][5].append(text)
+                out[-1][6:] = [out[-1][6] + 1, out[-1][7] + changed, out[-1][8] + cost]
             else:
                 message += not step.merged
-                out.append([conv, message, block, ROLES[step.role - 1], [text], 1, changed, cost])
+                out.append([conv, known, message, block, ROLES[step.role - 1], [text], 1, changed, cost])
         if last:
             for role in {SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,)}.get(leave, ()):
                 message += 1
-                out.append([conv, message, block, ROLES[role - 1], [], 0, 0, cfg.insert])
+                out.append([conv, known, message, block, ROLES[role - 1], [], 0, 0, cfg.insert])
         for row in out:
-            row[4] = cfg.joiner.join(t or "" for t in row[4])
+            row[5] = cfg.joiner.join(t or "" for t in row[5])
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
@@ -167,31 +191,35 @@ def format_chats(turns: DataFrame, cfg: ChatConfig = ChatConfig(), conv_col: str
     n_relabelled, cost, rendered)``, ``message`` from 0 in order; ``rendered`` pieces make the whole.
 
     No turn is dropped. Turns are taken in order of turn number, null ones first, and
-    equal ones by role and text. Roles are compared in lower case without blanks around; a
-    null or other role is named at the cost of ``unknown``. A null text counts as empty and
-    is kept. An inserted message has ``n_turns`` 0. Of several cheapest ways the one whose
-    last steps come first in ``steps`` is taken. Rows of null conversation are one
+    equal ones by role and a hash of the text. Roles are compared in lower case without blanks
+    around; a null or other role is named at the cost of ``unknown``. A null text counts as
+    empty and is kept. An inserted message has ``n_turns`` 0. Of several cheapest ways the one
+    whose last steps come first in ``steps`` is taken. Rows of null conversation are one
     conversation, which is null in the result. An empty table gives an empty result.
     Other columns are not read.
     """
     role = F.lower(F.trim(F.col(role_col)))
     given = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in ROLES]), role), F.lit(0)).cast("int")
+    conv = F.col(conv_col).cast("long")
     rows = turns.select(
-        F.coalesce(F.col(conv_col).cast("long"), F.lit(-(2**63))).alias("conv"),
-        F.floor(F.coalesce(F.col(turn_col).cast("long"), F.lit(0)) / F.lit(cfg.block_turns)).cast("long").alias("block"),
-        F.col(turn_col).cast("long").alias("turn"),
-        F.when(given == 0, 3).otherwise(given - 1).alias("given"),
-        F.col(text_col).alias("text"),
-    )
-    keys, order = ["conv", "block"], ["conv", "block", "turn", "given", "text"]
-    schema = "conv long, block long, costs array<bigint>, opened array<bigint>"
-    light = rows.repartition(*keys).sortWithinPartitions(*order).select("conv", "block", "given")
-    matrices = light.mapInArrow(lambda it: _matrices(it, cfg), schema).repartition("conv").sortWithinPartitions(*keys)
-    ends = matrices.mapInArrow(lambda it: _chained(it, cfg), "conv long, block long, entry int, leave int, first long, last boolean")
-    solved = rows.join(ends, keys).repartition(*keys).sortWithinPartitions(*order)
-    schema = "conv long, message long, piece long, role string, text string, turns int, relabelled int, cost long"
-    pieces = solved.select("conv", "block", "given", "text", "entry", "leave", "first", "last").mapInArrow(lambda it: _solved(it, cfg), schema)
-    joined = pieces.groupBy("conv", "message").agg(
+        # a null conversation takes the least number, and a flag of its own beside it
+        F.coalesce(conv, F.lit(-(2**63))).alias("conv"), conv.isNotNull().cast("int").alias("known"), F.col(turn_col).cast("long").alias("turn"),
+        F.when(given == 0, 3).otherwise(given - 1).alias("given"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"), F.rand(7).alias("tie"),
+    )
+    order = ["conv", "known", "turn", "given", "mark", "tie"]  # the last one only parts rows that are equal
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "known", "given", "text")
+    placed = materialize(ranged.mapInArrow(lambda it: _placed(it, cfg), "conv long, known int, block long, place long, given int, text string"), "chat")
+    keys = ["conv", "known", "block"]
+    schema = "conv long, known int, block long, costs array<bigint>, opened array<bigint>"
+    # small rows that are dear to work on: dealt to a number of tasks that adaptive execution leaves alone
+    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    light = placed.select(*keys, "place", "given").repartition(tasks, *keys).sortWithinPartitions(*keys, "place")
+    matrices = light.mapInArrow(lambda it: _matrices(it, cfg), schema).repartition(tasks, "conv").sortWithinPartitions(*keys)
+    ends = matrices.mapInArrow(lambda it: _chained(it, cfg), "conv long, known int, block long, entry int, leave int, first long, last boolean")
+    solved = placed.join(ends, keys).repartition(*keys).sortWithinPartitions(*keys, "place")
+    schema = "conv long, known int, message long, piece long, role string, text string, turns int, relabelled int, cost long"
+    pieces = solved.select("conv", "known", "block", "given", "text", "entry", "leave", "first", "last").mapInArrow(lambda it: _solved(it, cfg), schema)
+    joined = pieces.groupBy("conv", "known", "message").agg(
         F.first("role").alias("role"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda p: p["text"]), cfg.joiner).alias("text"),
         F.sum("turns").alias("n_turns"),
@@ -200,6 +228,6 @@ def format_chats(turns: DataFrame, cfg: ChatConfig = ChatConfig(), conv_col: str
     )
     mark = lambda text: F.replace(F.lit(text), F.lit("{role}"), F.col("role"))
     return joined.select(
-        F.when(F.col("conv") != -(2**63), F.col("conv")).alias("conv_id"), "message", "role", "text", "n_turns", "n_relabelled", "cost",
+        F.when(F.col("known") == 1, F.col("conv")).alias("conv_id"), "message", "role", "text", "n_turns", "n_relabelled", "cost",
         F.concat(mark(cfg.before), "text", mark(cfg.after)).alias("rendered"),
     )

@@ -215,14 +215,30 @@ def test_hilbert_neighbours_touch():
 
 
 def cheapest(roles, cfg):
-    best = {chat.START: 0}
-    for g in roles:
-        new = {}
-        for s in chat.steps(cfg)[g]:
-            if s.source in best:
-                new[s.target] = min(new.get(s.target, 10**9), best[s.source] + s.cost)
-        best = new
-    return min(c + {chat.SYSTEM: 2 * cfg.insert, chat.USER: cfg.insert}.get(s, 0) for s, c in best.items())
+    """The least cost over every legal sequence of roles, found without the operator's table of steps: a turn
+    is told as the next message of the sequence or merged into the present one, and messages may stay empty."""
+    best = None
+    for length in range(1, 2 * len(roles) + 3):
+        for system in (False, True):
+            body = length - system
+            if body < 2 or body % 2:
+                continue
+            legal = [0] * system + [1, 2] * (body // 2)
+            cost = {(-1, False): 0}  # (message at hand, whether a turn has filled it)
+            for g in roles:
+                new = {}
+                for (at, filled), c in cost.items():
+                    for to in range(max(at, 0), length):
+                        if to == at and not filled:
+                            continue
+                        name = 0 if g == legal[to] else cfg.unknown if g == 3 else cfg.relabel
+                        step = name + (cfg.merge if to == at else cfg.insert * (to - at - 1))
+                        new[to, True] = min(new.get((to, True), 10**9), c + step)
+                cost = new
+            for (at, _), c in cost.items():
+                total = c + cfg.insert * (length - 1 - at)
+                best = total if best is None else min(best, total)
+    return best
 
 
 @pytest.mark.parametrize("block", [4096, 2])
@@ -247,13 +263,24 @@ def test_chat_repairs_at_least_cost(spark, block):
 
 
 def test_chat_awkward_rows(spark):
-    schema = "conv_id long, turn long, role string, text string, message string, block int"
-    rows = [(1, None, " USER ", None, "m", 1), (1, 0, None, "b", "m", 1), (None, 0, "user", "x", None, None), (1, 0, None, "b", "m", 1)]
+    schema = "conv_id long, turn long, role string, text string, message string, block int, known string, place int"
+    least = -(2**63)
+    rows = [(1, None, " USER ", None, "m", 1, "k", 1), (1, 0, None, "b", "m", 1, None, 1), (None, 0, "user", "x", None, None, None, 1), (1, 0, None, "b", "m", 1, "k", 1), (least, 0, "user", "y", None, 1, "k", 1)]
     got = chat.format_chats(spark.createDataFrame(rows, schema)).collect()
-    assert {r.conv_id for r in got} == {1, None} and sum(r.n_turns for r in got) == 4
+    assert {r.conv_id for r in got} == {1, None, least} and sum(r.n_turns for r in got) == 5
+    assert [r.text for r in got if r.conv_id is None and r.n_turns] == ["x"] and [r.text for r in got if r.conv_id == least and r.n_turns] == ["y"]
     assert chat.format_chats(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_chat_cuts_a_conversation_without_turn_numbers(spark):
+    rows = spark.range(6000).selectExpr("cast(null as long) conv_id", "cast(null as long) turn", "if(id % 2 = 0, 'user', 'assistant') role", "'same' text")
+    got = chat.format_chats(rows, chat.ChatConfig(block_turns=100)).agg(F.sum("n_turns"), F.max(F.length("text"))).first()
+    assert got[0] == 6000
+    given = spark.range(6000).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "string(id) text")
+    whole = chat.format_chats(given, chat.ChatConfig(block_turns=100)).orderBy("message").collect()
+    assert [r.text for r in whole] == [str(k) for k in range(6000)] and sum(r.cost for r in whole) == 0
+
+
 # Licenses
 
 
@@ -375,6 +402,19 @@ def test_embedding_links_match_brute_force(spark):
     assert embdedup.embedding_near_duplicates(spark.createDataFrame([], VECS)).count() == 0
 
 
+def test_embeddings_of_equal_ids_and_other_lengths(spark):
+    rows = [(5, [1.0, 0.0, 0.0, 0.0], 0), (5, [0.0, 1.0, 0.0, 0.0], 0), (6, [1.0, 0.1, 0.0, 0.0], 0), (7, [1.0, 0.0, 0.1, 0.0], 0), (8, [0.0, 1.0, 0.1, 0.0], 0)]
+    rows += [(9, [1.0, 0.0], 0), (10, [1.0, 0.0], 0), (11, [0.0, 0.0, 0.0, 1.0], 0), (12, [-0.0, 0.0, 0.0, 2.0], 0), (12, [-0.0, 0.0, 0.0, 2.0], 0), (13, [1.0], 0)]
+    df = spark.createDataFrame(rows, VECS).select("*", F.lit("x").alias("node"), F.lit(1).alias("v"), F.lit(1).alias("cluster"))
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embdedup.embedding_near_duplicates(df).collect())
+    assert got == [
+        (5, 1, 5, True), (5, 2, 5, True), (6, 2, 5, False), (7, 2, 5, False), (8, 1, 5, False), (9, 0, 9, True), (10, 0, 10, True),
+        (11, 2, 11, True), (12, 2, 11, False), (12, 2, 11, False), (13, 0, 13, True),
+    ]
+    ragged = annforest.nearest(df, df.where("vec_id in (6, 9)")).collect()
+    assert {r.query_id for r in ragged} == {6} and {r.vec_id for r in ragged} == {5, 7, 8, 11, 12}
+
+
 def topic(n, pairs, inner, dims=64, cosine=0.953, seed=4):
     """``n`` unit vectors of one topic, mutual cosine about ``inner``, then a partner at ``cosine`` for each of the first ``pairs``."""
     rng = np.random.default_rng(seed)
@@ -408,7 +448,7 @@ def test_embedding_pairs_of_a_dense_topic(spark, tmp_path):
 
 def test_embedding_buckets_cut_to_the_stated_miss(spark, tmp_path):
     x = topic(8000, 300, 0.7)
-    cfg = embdedup.ProjectionConfig(buckets=(256,), row_cost=0, pair_block=128, block=32)
+    cfg = embdedup.ProjectionConfig(buckets=(256,), row_cost=0, block=128)
     trees = embdedup.plan(x, len(x), cfg)
     assert len(trees) >= 16 and len(set(trees[0].bucket(x).tolist())) > 8
     recall, got = found_of_planted(spark, f"{tmp_path}/v.parquet", x, 300, cfg)
@@ -472,7 +512,7 @@ def test_mixing_counts_and_shares(spark):
 def test_mixing_awkward_rows(spark, odd, none):
     got = mixing.mix(odd, mixing.MixConfig(epochs=3.0)).collect()
     assert {r.replica for r in got} >= {1, 2} and got[0].asDict().keys() >= {"score", "n_replicas"}
-    assert any(r.source is None for r in got) or True
+    assert {r.source for r in got} == {"s0", "s1", "s2", None}
     assert mixing.mix(none).count() == 0 and mixing.mix(odd, mixing.MixConfig(weights={"zz": 1.0})).count() == 0
 
 
@@ -505,4 +545,4 @@ def test_ring_awkward_rows(spark, odd, none):
 
 def test_ring_moves_few_rows_when_it_grows(spark):
     at = {k: {r.doc_id: r.shard for r in sharding.shard(spark.range(4000).withColumnRenamed("id", "doc_id"), sharding.RingConfig(shards=k)).collect()} for k in (8, 9)}
-    assert sum(at[8][i] != at[9][i] for i in at[8]) < 0.5 * 4000
+    assert sum(at[8][i] != at[9][i] for i in at[8]) < 0.25 * 4000
