@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lettermill.llm.blocks import block_pairs, forest, runs
 from lettermill.llm.words import forget_words, shingles
-from lettermill.operators.components import connected_components
+from lettermill.operators.components import connected_components, join_hot
 from lettermill.session import materialize
 
 
@@ -91,7 +91,7 @@ def prefix_postings(reps: DataFrame, cfg: MinHashConfig) -> DataFrame:
     posted = reps.select("rep", F.posexplode("coords").alias("j", "v"))
     shared = posted.groupBy("j", "v").agg(F.count("*").alias("n")).where("n > 1")
     ranked = (
-        posted.join(shared, ["j", "v"])
+        join_hot(posted, shared, ["j", "v"])
         .groupBy("rep")
         .agg(F.array_sort(F.collect_list(F.struct("n", "j", "v"))).alias("e"))
         .where(F.size("e") >= cfg.matches)
@@ -200,18 +200,15 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_co
     signed = materialize(signatures(docs, cfg, id_col, text_col), "minhash-sig")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    members = materialize(full.join(classes, ["set_a", "set_b"]).select("doc_id", "rep"), "minhash-member")
-    reps = (
-        full.join(classes, ["set_a", "set_b"]).where("doc_id = rep")
-        .select("rep", "set_a", "set_b", "coords").dropDuplicates(["rep", "set_a", "set_b"])
-    )
-    reps = materialize(reps, "minhash-rep")
+    members = materialize(join_hot(full.drop("coords"), classes, ["set_a", "set_b"]).select("doc_id", "rep"), "minhash-member")
+    reps = join_hot(full, classes, ["set_a", "set_b"]).where("doc_id = rep")
+    reps = materialize(reps.select("rep", "set_a", "set_b", "coords").dropDuplicates(["rep", "set_a", "set_b"]), "minhash-rep")
     postings = prefix_postings(reps, cfg).join(reps.select("rep", "coords"), "rep")
     met = block_pairs(postings, ["j", "v"], "n", "rep", cfg.list_block)
     met = met.repartition("v", "j", "ba", "bb").sortWithinPartitions("v", "j", "ba", "bb")
     found = met.select("v", "j", "ba", "bb", "rep", "coords").mapInArrow(lambda it: _matching(it, cfg), "u long, v long")
     clusters = connected_components(found).withColumnsRenamed({"node": "rep", "component": "cluster"})
-    sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
+    sized = join_hot(clusters, clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
     wanted = materialize(sized, "minhash-cluster")
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
@@ -221,7 +218,7 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_co
     # an id that stands for rows of several texts ties their classes together
     owners = members.select("doc_id", "rep").distinct()
     least = owners.groupBy("doc_id").agg(F.min("rep").alias("u"))
-    tied = owners.join(least, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v"))
+    tied = join_hot(owners, least, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v"))
     joined = connected_components(links.unionByName(tied)).withColumnsRenamed({"node": "rep"})
     placed = least.select("doc_id", F.col("u").alias("rep")).join(joined, "rep", "left")
     placed = placed.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
