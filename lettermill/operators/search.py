@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lettermill.functions.text import text_column
+from lettermill.functions.text import sanitize_text, text_column, trim_all
 from lettermill.operators.filters import combine_ids, paginate, sort_emails
 
 FIELDS = ["subject", "body", "sender", "recipients", "attachments", "meta"]
@@ -176,16 +176,19 @@ def to_documents(df: DataFrame, page=1, limit=10) -> DataFrame:
 
 def build_search_docs(emails: DataFrame, links: DataFrame, attachments: DataFrame, bodies: DataFrame) -> DataFrame:
     """Index documents from emails, their attachments' names and texts, and ``bodies (id, text, html)``."""
+    clean = lambda c: sanitize_text(F.coalesce(c, F.lit("")))
     held = links.join(attachments.withColumnRenamed("id", "attachment_id"), "attachment_id")
-    piece = F.concat_ws("\n", "filename", F.when(F.col("extracted_text") != "", F.col("extracted_text")))
+    piece = F.concat(clean(F.col("filename")), F.lit("\n"), clean(F.col("extracted_text")))
     files = held.groupBy(F.col("email_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(piece)), "\n").alias("attachments"))
-    people = F.flatten(F.array(*[F.coalesce(F.col("recipients")[k], F.expr("cast(array() as array<struct<name:string,address:string>>)")) for k in ("to", "cc")]))
+    none = F.expr("cast(array() as array<struct<name:string,address:string>>)")
+    people = F.flatten(F.array(*[F.coalesce(F.col("recipients")[k], none) for k in ("to", "cc", "bcc")]))
     rows = emails.join(bodies, "id", "left").join(files, "id", "left")
     return rows.select(
-        F.col("id").alias("email_id"), F.coalesce("subject", F.lit("")).alias("subject"),
-        F.coalesce(F.when(F.col("text") != "", F.col("text")), "html", F.lit("")).alias("body"),
-        F.concat_ws(" ", "sender_email", "sender_name").alias("sender"), F.array_join(F.transform(people, lambda p: p["address"]), " ").alias("recipients"),
-        F.coalesce("attachments", F.lit("")).alias("attachments"), F.concat_ws(" ", "import_source", "source_path", F.array_join("tags", " ")).alias("meta"),
+        F.col("id").alias("email_id"), clean(F.col("subject")).alias("subject"),
+        clean(F.coalesce(F.when(F.col("text") != "", F.col("text")), F.col("html"))).alias("body"),
+        trim_all(F.concat_ws(" ", clean(F.col("sender_email")), clean(F.col("sender_name")))).alias("sender"),
+        F.array_join(F.transform(people, lambda p: clean(p["address"])), " ").alias("recipients"), F.coalesce("attachments", F.lit("")).alias("attachments"),
+        F.concat_ws(" ", clean(F.col("import_source")), clean(F.col("source_path")), F.array_join(F.transform("tags", clean), " ")).alias("meta"),
     )
 
 

@@ -66,7 +66,7 @@ def unescape_mbox(c: Column | str) -> Column:
     return F.encode(F.regexp_replace(F.decode(text_column(c), _LATIN), r"(?m)^>(>*From )", "$1"), _LATIN)
 
 
-def read_mbox(spark: SparkSession, path: str) -> DataFrame:
+def read_mbox(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file_path, ordinal, raw)``: one row per record, a record starting at a line ``From ``.
 
     The scan is splittable; ``ordinal`` grows with the place in a file. Text before the
@@ -202,7 +202,8 @@ def parse_messages(raw: DataFrame) -> DataFrame:
 
     ``storage_hash`` and ``size_bytes`` describe the message with attachment bodies replaced by
     their digests, so that copies which only wrap an attachment otherwise agree. A message
-    that can't be read at all is left out and never fails its batch.
+    that can't be read at all never fails its batch: its row has a place and nothing else,
+    no ``message_key`` above all, by which imports count it as failed.
     """
     spark = raw.sparkSession
     schema = spark.createDataFrame([], MESSAGE_SCHEMA).schema
@@ -220,8 +221,7 @@ def parse_messages(raw: DataFrame) -> DataFrame:
                         row = _parsed(file, ordinal, body.as_py() or b"")
                     except (ValueError, LookupError, TypeError, AttributeError, IndexError):
                         row = None
-                    if row:
-                        rows.append(row)
+                    rows.append(row or {"file_path": file, "ordinal": ordinal})
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return raw.select("file_path", "ordinal", "raw").mapInArrow(kernel, schema)
@@ -259,17 +259,23 @@ def read_contacts_vcf(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(is_email("email")).select("email", F.when(F.col("name") != "", F.col("name")).otherwise(F.col("email")).alias("display_name"), (F.col("card") * 1024 + F.col("at")).alias("ordinal"))
 
 
+def _published(spark: SparkSession, folder: str):
+    """The folder's file system, and the numbers of its published versions."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(path(folder))] if files.exists(path(folder)) else []
+    numbers = [int(n[len("version=") :]) for n in names if n.startswith("version=")]
+    return files, path, sorted(n for n in numbers if files.exists(path(f"{folder}/version={n}/_PUBLISHED"))), max(numbers, default=0)
+
+
 def read_archive(spark: SparkSession, folder: str):
-    """The archive's tables as written by ``write_archive``; absent ones are empty."""
+    """The tables of the newest version that ``write_archive`` published; all empty where there is none."""
     from lettermill.schemas import SCHEMAS, Archive
 
-    tables = {}
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for name, schema in SCHEMAS.items():
-        path = hadoop(f"{folder}/{name}")
-        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        tables[name] = spark.read.schema(schema).parquet(f"{folder}/{name}") if there else spark.createDataFrame([], schema)
-    return Archive(**tables)
+    versions = _published(spark, folder)[2]
+    if not versions:
+        return Archive.empty(spark)
+    return Archive(**{name: spark.read.schema(schema).parquet(f"{folder}/version={versions[-1]}/{name}") for name, schema in SCHEMAS.items()})
 
 
 def emails_view(emails: DataFrame, sources: DataFrame) -> DataFrame:
@@ -278,14 +284,22 @@ def emails_view(emails: DataFrame, sources: DataFrame) -> DataFrame:
     return with_source_name(emails, sources)
 
 
-def write_archive(tables, folder: str) -> None:
-    """All tables of the bundle; emails by source, which is what listings prune by. Emails come last."""
+def write_archive(tables, folder: str) -> int:
+    """Writes all tables of the bundle as a new version, and publishes it last; returns its number.
+
+    Readers see the old version or the new one, never a mixture, and tables read from the
+    folder itself may be written back. Emails lie by source, which is what listings prune by.
+    """
     from dataclasses import fields
 
-    names = sorted((f.name for f in fields(tables)), key=lambda n: n == "emails")
-    for name in names:
-        writer = getattr(tables, name).write.mode("overwrite")
-        (writer.partitionBy("ingestion_source_id") if name == "emails" else writer).parquet(f"{folder}/{name}")
+    spark = tables.emails.sparkSession
+    files, path, _, last = _published(spark, folder)
+    version = last + 1
+    for f in fields(tables):
+        writer = getattr(tables, f.name).write
+        (writer.partitionBy("ingestion_source_id") if f.name == "emails" else writer).parquet(f"{folder}/version={version}/{f.name}")
+    files.create(path(f"{folder}/version={version}/_PUBLISHED"), False).close()
+    return version
 
 
 MAX_TEXT_BYTES = 50 * 1024 * 1024

@@ -6,49 +6,72 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lettermill.functions.dates import derive_sent_at
-from lettermill.functions.text import folder_and_labels, thread_id
-from lettermill.operators.aggregates import archive_revision
+from lettermill.functions.text import folder_and_labels, normalize_source_path, thread_id
+from lettermill.operators.aggregates import archive_revision, import_stats
+from lettermill.operators.components import join_hot
 from lettermill.operators.duplicates import cluster_members, duplicate_groups
 from lettermill.operators.ingest import dedup_messages
+from lettermill.operators.mutations import merge_folder_tags
 from lettermill.operators.search import build_postings
-from lettermill.sources.mailbox import parse_messages, strip_envelope, unescape_mbox
+from lettermill.session import materialize
+from lettermill.sources.mailbox import parse_messages, read_mbox
 
 _ARRIVED = "id string, ingestion_source_id string, provider_message_id string, thread_id string, subject string, sent_at long, sent_at_kind string, path string, tags array<string>, storage_hash string, size_bytes long, input_path string, ordinal long"
 
 
-def import_batch(raw: DataFrame, archive: DataFrame, sources: DataFrame, source_id: str) -> DataFrame:
-    """New archive rows of raw messages ``(file_path, ordinal, raw)``: parsed, dated, filed, first of each key."""
+def import_batch(raw: DataFrame, archive: DataFrame, sources: DataFrame, source_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New archive rows of raw messages ``(file_path, ordinal, raw)``: parsed, dated, filed, first of each key.
+
+    A message without an id of its own is known by its bytes and its source. Folders of later
+    copies become tags of the copy that stays. Also returns those folders, ``(id, path, ordinal)``,
+    for copies the archive holds already, and one row of counts archived, duplicates and failed.
+    """
     m = parse_messages(raw)
     at = derive_sent_at(F.col("date"), F.lit(None).cast("long"), F.col("received"))
     filed = folder_and_labels(F.col("gmail_labels"), F.col("folder"), F.lit(""))
     thread = thread_id(F.col("references"), F.col("in_reply_to"), F.col("conversation_id"), F.col("message_id"))
+    path = normalize_source_path(filed["path"])
+    own = F.when(F.col("message_id").isNull(), F.concat("message_key", F.lit("-"), F.lit(source_id))).otherwise(F.col("message_key"))
+    # a name by place and bytes: equal rows of one file share it, whatever partition they come from
     rows = m.select(
-        F.sha2(F.concat_ws("|", F.lit(source_id), "file_path", "ordinal"), 256).alias("id"), F.lit(source_id).alias("ingestion_source_id"), F.col("message_key"),
-        F.col("file_path").alias("input_path"), "ordinal", thread.alias("thread_id"), "subject", at.alias("at"), filed.alias("filed"), "storage_hash", "size_bytes",
+        F.sha2(F.concat_ws("|", F.lit(source_id), "file_path", F.coalesce("message_key", F.lit("")), "storage_hash", "date"), 256).alias("id"),
+        F.lit(source_id).alias("ingestion_source_id"), own.alias("message_key"), F.col("file_path").alias("input_path"), "ordinal",
+        thread.alias("thread_id"), "subject", at.alias("at"), path.alias("path"),
+        F.array_union(F.when(path != "", F.array(path)).otherwise(F.expr("cast(array() as array<string>)")), filed["labels"]).alias("tags"), "storage_hash", "size_bytes",
     )
-    first = dedup_messages(rows, archive, sources).where("status = 'archived' and id = survivor_id")
-    return first.select(
+    found = materialize(dedup_messages(rows, archive, sources), "import")
+    place = found.groupBy("id").agg(F.min("ordinal").alias("__first"))
+    again = (F.col("status") == "archived") & (F.col("ordinal") > F.col("__first"))
+    told = join_hot(found, place, "id").withColumn("status", F.when(again, "duplicate").otherwise(F.col("status"))).drop("__first")
+    first = told.where("status = 'archived'")
+    later = told.where("status = 'duplicate'").select(F.col("survivor_id").alias("id"), "path", "ordinal").where("path <> ''")
+    tagged = merge_folder_tags(first, later)
+    new = tagged.select(
         "id", "ingestion_source_id", F.col("message_key").alias("provider_message_id"), "thread_id", "subject", F.col("at.ms").alias("sent_at"), F.col("at.kind").alias("sent_at_kind"),
-        F.col("filed.path").alias("path"), F.col("filed.labels").alias("tags"), "storage_hash", "size_bytes", "input_path", "ordinal",
+        "path", "tags", "storage_hash", "size_bytes", "input_path", "ordinal",
     )
+    return new, later.join(first.select("id"), "id", "left_anti"), import_stats(told)
 
 
-def stream_import(spark: SparkSession, in_dir: str, archive_dir: str, sources: DataFrame, source_id: str, checkpoint: str) -> StreamingQuery:
-    """Imports arriving mbox files. A batch writes a folder of its own, so a repeated batch replaces itself."""
-    files = spark.readStream.option("lineSep", "\nFrom ").text(in_dir)
-    body = F.col("value").cast("binary")
-    headed = F.when(F.substring(body, 1, 5) == F.lit(b"From "), body).otherwise(F.concat(F.lit(b"From "), body))
-    raw = files.select(F.col("_metadata.file_path").alias("file_path"), unescape_mbox(strip_envelope(headed)).alias("raw"))
+def stream_import(spark: SparkSession, in_dir: str, archive_dir: str, sources: DataFrame, source_id: str, checkpoint: str, files_a_batch: int = 1000) -> StreamingQuery:
+    """Imports arriving mbox files, at most ``files_a_batch`` at once, by the batch reader: text before a
+    file's first record is none. A batch writes folders of its own, so a repeated batch replaces itself:
+    messages, folders that archived messages gained (``_folders``) and counts (``_counts``)."""
+    listed = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    files = listed.option("maxFilesPerTrigger", files_a_batch).load(in_dir).select("path")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # the batch's own earlier try must not count as archived already
         before = spark.read.schema(f"{_ARRIVED}, batch long").parquet(archive_dir).where(F.col("batch") != batch_id)
-        numbered = batch.withColumn("ordinal", F.monotonically_increasing_id()).select("file_path", "ordinal", "raw")
-        import_batch(numbered, before, sources, source_id).write.mode("overwrite").parquet(f"{archive_dir}/batch={batch_id}")
+        paths = sorted(r.path for r in batch.collect())  # names of a batch's files, bounded by files_a_batch
+        if paths:
+            results = import_batch(read_mbox(spark, paths), before, sources, source_id)
+            for df, place in zip(results, (archive_dir, f"{archive_dir}_folders", f"{archive_dir}_counts")):
+                df.write.mode("overwrite").parquet(f"{place}/batch={batch_id}")
 
     spark.createDataFrame([], _ARRIVED).write.mode("append").parquet(f"{archive_dir}/batch=-1")
-    return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_dedup(sdf: DataFrame, delay: str = "1 day", key: tuple[str, ...] = ("root_id", "message_id"), time: str = "ts") -> DataFrame:
@@ -74,14 +97,21 @@ def stream_progress(sdf: DataFrame, key: str = "session_id", delta: str = "delta
 
 
 def stream_index(sdf: DataFrame, index_dir: str, checkpoint: str) -> StreamingQuery:
-    """Appends postings of arriving search documents; each batch has a folder of its own."""
+    """Writes the postings of arriving search documents, and which emails each batch indexed anew."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        build_postings(batch).write.mode("overwrite").parquet(f"{index_dir}/batch={batch_id}")
+        build_postings(batch).write.mode("overwrite").parquet(f"{index_dir}/postings/batch={batch_id}")
+        batch.select("email_id").distinct().write.mode("overwrite").parquet(f"{index_dir}/emails/batch={batch_id}")
 
     return sdf.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_index(spark: SparkSession, index_dir: str) -> DataFrame:
+    """The postings of a streamed index: of each email those of its last batch."""
+    last = spark.read.parquet(f"{index_dir}/emails").groupBy("email_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{index_dir}/postings").join(last, ["email_id", "batch"], "left_semi").select("term", "email_id", "field", "tf", "positions")
+
+
 def refresh_duplicates(emails: DataFrame, links: DataFrame, attachments: DataFrame, ignores: DataFrame, snapshot_dir: str) -> DataFrame:
     """The duplicate groups, computed anew only if the archive's revision differs from the stored one."""
     spark = emails.sparkSession

@@ -134,11 +134,20 @@ def test_trackers(spark, url, want):
     ("ftp://x/", True), ("http://u:p@x/", True), ("http://x:8080/", True), ("http://x:80/", False), ("https://localhost/", True), ("http://10.1.2.3/", True),
     ("http://172.32.0.1/", False), ("http://100.64.0.1/", True), ("http://8.8.8.8/", False), ("http://[::1]/", True), ("http://[::ffff:127.0.0.1]/", True),
     ("http://[2002:7f00:1::]/", True), ("http://[64:ff9b::8.8.8.8]/", False), ("http://[fe80::1]/", True), ("http://[2606:4700::1111]/", False), ("https://x.example/a", False),
+    ("http://2130706433/", True), ("http://0x7f.1/", True), ("http://127.1/", True), ("http://0177.0.0.1/", True), ("http://127.0.0.1./", True), ("http:\\\\127.0.0.1/a", True),
+    ("http://LOCALHOST./", True), ("http:/127.0.0.1/", True), ("http://%31%32%37.0.0.1/", True), ("http://256.1.1.1/", True), ("http://1.2.3.4.5/", True), ("http://134744072/", False),
+    ("http://8.8.2056/", False), ("http://a.1x/", False), ("http:///", True), ("http://x:/", False), ("http://0x7f.0x0.0x0.0x1/", True),
 ])
 def test_url_policy(spark, url, blocked):
     assert (one(spark, H.url_block_reason("c0"), url) is not None) is blocked
 
 
+def test_url_policy_names_the_address(spark):
+    said = lambda url: one(spark, H.url_block_reason("c0"), url)
+    assert said("http://2130706433/") == "Address 127.0.0.1 is a private or local network address"
+    assert said("http://256.1.1.1/") == "Remote content URL has no valid host"
+
+
 def test_sniffing(spark):
     kinds = [b"\x89PNG\r\n\x1a\n....", b"\xff\xd8\xff\xe0", b"GIF89a......", b"RIFF1234WEBPxx", b"\x00\x00\x00\x20ftypavif", b"<svg>"]
     got = [one(spark, H.sniff_image("c0"), k) for k in kinds]

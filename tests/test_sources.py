@@ -87,8 +87,14 @@ def test_export_and_archive_round_trip(spark, tmp_path):
     assert back == sorted(r[1].rstrip(b"\n") for r in rows)
     names = spark.createDataFrame([], EMAILS).schema.names
     emails = spark.createDataFrame([tuple({"id": "a", "ingestion_source_id": "s", "sender_email": "x"}.get(n) for n in names)], EMAILS)
-    mb.write_archive(Archive.empty(spark, emails=emails), f"{tmp_path}/arc")
-    assert mb.read_archive(spark, f"{tmp_path}/arc").emails.select("id", "ingestion_source_id").first() == ("a", "s")
+    assert mb.read_archive(spark, f"{tmp_path}/arc").emails.count() == 0
+    assert mb.write_archive(Archive.empty(spark, emails=emails), f"{tmp_path}/arc") == 1
+    stored = mb.read_archive(spark, f"{tmp_path}/arc")
+    assert stored.emails.select("id", "ingestion_source_id").first() == ("a", "s")
+    # written back from itself, then a version that was never published
+    assert mb.write_archive(stored, f"{tmp_path}/arc") == 2
+    stored.emails.limit(0).write.parquet(f"{tmp_path}/arc/version=3/emails")
+    assert mb.read_archive(spark, f"{tmp_path}/arc").emails.count() == 1
 
 
 def test_streamed_import_is_exact_and_repeatable(spark, tmp_path):
@@ -97,10 +103,17 @@ def test_streamed_import_is_exact_and_repeatable(spark, tmp_path):
     sources = spark.createDataFrame([("s1", None)], "id string, merged_into_id string")
     run = lambda: jobs.stream_import(spark, f"{tmp_path}/in", f"{tmp_path}/arc", sources, "s1", f"{tmp_path}/cp").awaitTermination()
     run()
-    (tmp_path / "in" / "2.mbox").write_bytes(MBOX.replace(b"<2@x>", b"<3@x>"))
+    nameless = b"\nFrom M Mon Jan  1 00:00:00 2024\nSubject: no id\n\nsame\n"
+    more = MBOX.replace(b"<2@x>", b"<3@x>").replace(b"Inbox,Work", b"Sent") + nameless + nameless + b"\nFrom M Mon Jan  1 00:00:00 2024\n"
+    (tmp_path / "in" / "2.mbox").write_bytes(b"preamble\n\n" + more)
     run()
     got = spark.read.parquet(f"{tmp_path}/arc")
-    assert sorted(r.provider_message_id for r in got.collect()) == ["<1@x>", "<2@x>", "<3@x>"]
+    keys = sorted(r.provider_message_id for r in got.collect())
+    assert keys[:3] == ["<1@x>", "<2@x>", "<3@x>"] and len(keys) == 4 and keys[3].startswith("generated-") and keys[3].endswith("-s1")
+    known = got.where("provider_message_id = '<1@x>'").first().id
+    assert [(r.id, r.path) for r in spark.read.parquet(f"{tmp_path}/arc_folders").collect()] == [(known, "Sent")]
+    counts = spark.read.parquet(f"{tmp_path}/arc_counts").agg(F.sum("archived"), F.sum("duplicates"), F.sum("failed")).first()
+    assert tuple(counts) == (4, 4, 1)
     first = got.where("provider_message_id = '<1@x>'").first()
     assert (first.sent_at, first.sent_at_kind, first.path, first.tags) == (1704067200000, "sent", "Inbox", ["Inbox", "Work"])
     assert got.where("provider_message_id = '<2@x>'").first().thread_id == "<1@x>"
@@ -133,6 +146,9 @@ def test_streamed_index_and_snapshots(spark, tmp_path):
     docs = spark.createDataFrame([("1", "hello", "", "", "", "", "")], SEARCH_DOCS)
     docs.write.parquet(f"{tmp_path}/docs")
     jobs.stream_index(spark.readStream.schema(SEARCH_DOCS).parquet(f"{tmp_path}/docs"), f"{tmp_path}/index", f"{tmp_path}/cp").awaitTermination()
-    assert [r.term for r in spark.read.parquet(f"{tmp_path}/index").collect()] == ["hello"]
+    assert [r.term for r in spark.read.parquet(f"{tmp_path}/index/postings").collect()] == ["hello"]
+    spark.createDataFrame([("1", "world", "", "", "", "", ""), ("2", "more", "", "", "", "", "")], SEARCH_DOCS).write.mode("append").parquet(f"{tmp_path}/docs")
+    jobs.stream_index(spark.readStream.schema(SEARCH_DOCS).parquet(f"{tmp_path}/docs"), f"{tmp_path}/index", f"{tmp_path}/cp").awaitTermination()
+    assert sorted(r.term for r in jobs.read_index(spark, f"{tmp_path}/index").collect()) == ["more", "world"]
     empty = [spark.createDataFrame([], s) for s in (EMAILS, "email_id string, attachment_id string", "id string, filename string, mime_type string, size_bytes long, content_hash_sha256 string", "fingerprint string, created_at long")]
     assert jobs.refresh_duplicates(*empty, f"{tmp_path}/snap").count() == 0 == jobs.refresh_duplicates(*empty, f"{tmp_path}/snap").count()
