@@ -54,6 +54,12 @@ def build_postings(docs: DataFrame) -> DataFrame:
     return rows.groupBy("term", "email_id", "field").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def save_index(postings: DataFrame, path: str) -> DataFrame:
+    """The postings as a table in order of term, so that a query reads the row groups of its terms alone."""
+    postings.repartitionByRange("term", "email_id").sortWithinPartitions("term", "email_id", "field").write.parquet(path)
+    return postings.sparkSession.read.schema(postings.schema).parquet(path)
+
+
 def doc_lengths(docs: DataFrame) -> DataFrame:
     return docs.select("email_id", reduce(lambda a, b: a + b, [F.size(tokenize(f)) for f in FIELDS]).alias("length"))
 
@@ -110,6 +116,11 @@ def match(postings: DataFrame, query: str, fields: str | list[str] | None = None
     phrases, scope = parse_query(query), resolve_fields(fields)
     if not phrases:
         return postings.select("email_id").limit(0)
+    if all(len(tokens) == 1 for tokens, _ in phrases):  # one pass for all terms
+        rows = postings.where(F.col("field").isin(*scope)) if len(scope) < len(FIELDS) else postings
+        is_term = [F.col("term").startswith(t[0]) if prefix else F.col("term") == t[0] for t, prefix in phrases]
+        seen = rows.where(reduce(lambda a, b: a | b, is_term)).groupBy("email_id").agg(*[F.bool_or(c).alias(f"t{k}") for k, c in enumerate(is_term)])
+        return seen.where(F.lit(or_mode) | F.array_min(F.array(*[F.col(f"t{k}") for k in range(len(is_term))]))).select("email_id")
     hits = [phrase_hits(postings, t, p, scope).select("email_id").distinct() for t, p in phrases]
     return reduce(lambda a, b: combine_ids(a, b, "any" if or_mode else "all"), hits)
 

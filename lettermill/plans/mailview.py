@@ -69,8 +69,10 @@ def hashed_sql(column: str) -> str:
 SIGNALS_SQL = f"""signals AS (
   SELECT id, sent_at, archived_at, storage_hash, message_id, lower(message_id) AS mid, {hashed_sql("subject")} AS subject_hash, lower(sender_email) AS sender,
     {hashed_sql("text")} AS body_hash,
-    sha256(array_to_string(list_sort(list_filter([lower(to_address), lower(cc_address)], lambda x: x IS NOT NULL)), '|')) AS recipient_fp
-  FROM emails WHERE deleted_at IS NULL)"""
+    sha256(array_to_string(list_sort(list_filter([lower(to_address), lower(cc_address)], lambda x: x IS NOT NULL)), '|')) AS recipient_fp, attachment_fp, coalesce(metadata_fp, '') AS metadata_fp
+  FROM emails LEFT JOIN (SELECT email_id, sha256(string_agg(DISTINCT content_hash, '|' ORDER BY content_hash)) AS attachment_fp,
+      string_agg(content_hash || '|' || filename || '|' || size_bytes, ';' ORDER BY content_hash, filename, size_bytes) AS metadata_fp
+    FROM links JOIN attachments a ON a.id = attachment_id GROUP BY 1) f ON f.email_id = id WHERE deleted_at IS NULL)"""
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +100,18 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINKS_SQL = "links AS (SELECT DISTINCT lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS email_id, CAST(l_partkey AS VARCHAR) AS attachment_id FROM lineitem)"
+
+
+def mail_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments of a quarter of the emails, chosen by length, so that some copies agree in them and some don't."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 4 = 0")
+    picked = F.array(F.col("n_chars") % 200 + 1, F.when(F.col("doc_id") % 8 == 0, F.col("n_chars") % 7 + 1))
+    rows = d.select(F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("email_id"), F.explode(F.array_compact(picked)).alias("attachment_id"))
+    return rows.select("email_id", F.col("attachment_id").cast("string").alias("attachment_id")).distinct()
+
+
+MAIL_LINKS_SQL = """links AS (SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0') AS email_id, CAST(n_chars % 200 + 1 AS VARCHAR) AS attachment_id FROM documents WHERE doc_id % 4 = 0
+  UNION SELECT lpad(CAST(doc_id AS VARCHAR), 10, '0'), CAST(n_chars % 7 + 1 AS VARCHAR) FROM documents WHERE doc_id % 8 = 0)"""
 _EXTS = ["pdf", "jpg", "zip", "docx", "stl", "txt", "mp3"]
 
 
@@ -116,6 +130,42 @@ ATTACHMENTS_SQL = f"""attachments AS (
   SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || '.' || {_EXTS!r}[p_size % {len(_EXTS)} + 1] AS filename, 'application/octet-stream' AS mime_type,
     CAST(p_size AS BIGINT) AS size_bytes, sha256(p_brand || p_type) AS content_hash, 'att/' || p_partkey AS storage_path FROM part)"""
 
+
+
+def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as remote assets of the first hundred emails."""
+    k = F.col("p_partkey").cast("string")
+    pick = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
+    null = F.lit(None).cast("string")
+    return table(spark, sf_dir, "part").select(
+        k.alias("id"), F.lpad((F.col("p_partkey") % 100).cast("string"), 10, "0").alias("email_id"),
+        F.concat(F.when(F.col("p_size") % 5 == 0, "https://open.emltrk.com/").otherwise("https://cdn.example/"), k).alias("original_url"), null.alias("final_url"), F.md5(k).alias("url_hash"),
+        pick(("archived", "failed", "blocked", "pending"), F.col("p_partkey") % 4).alias("status"), pick(("image/png", "text/css", "image/svg+xml"), F.col("p_size") % 3).alias("content_type"),
+        F.col("p_size").cast("long").alias("size_bytes"), F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("a/"), k)).alias("storage_path"), null.alias("failure_reason"),
+    )
+
+
+ASSETS_SQL = """assets AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS id, lpad(CAST(p_partkey % 100 AS VARCHAR), 10, '0') AS email_id, CASE WHEN p_size % 5 = 0 THEN 'https://open.emltrk.com/' ELSE 'https://cdn.example/' END || p_partkey AS original_url,
+    md5(CAST(p_partkey AS VARCHAR)) AS url_hash, ['archived', 'failed', 'blocked', 'pending'][p_partkey % 4 + 1] AS status, ['image/png', 'text/css', 'image/svg+xml'][p_size % 3 + 1] AS content_type,
+    CASE WHEN p_partkey % 3 <> 0 THEN 'a/' || p_partkey END AS storage_path FROM part)"""
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as import sessions of three mailboxes."""
+    k, bad = F.col("s_suppkey"), (F.col("s_nationkey") % 3 == 0).cast("long")
+    long = lambda c: c.cast("long")
+    return table(spark, sf_dir, "supplier").select(
+        k.cast("string").alias("id"), F.concat(F.lit("src"), (k % 20).cast("string")).alias("ingestion_source_id"), (k % 2 == 0).alias("is_initial_import"), long(F.lit(3)).alias("total_mailboxes"),
+        long(k % 4).alias("completed_mailboxes"), bad.alias("failed_mailboxes"), F.when(bad == 1, F.array(F.lit("bad"))).otherwise(F.expr("cast(array() as array<string>)")).alias("error_messages"),
+        long(F.lit(EPOCH)).alias("created_at"), long(F.lit(EPOCH) + k * 60000).alias("last_activity_at"), long(F.lit(1000)).alias("total_bytes"), long(k * 10).alias("processed_bytes"),
+    )
+
+
+SESSIONS_SQL = f"""sessions AS (
+  SELECT CAST(s_suppkey AS VARCHAR) AS id, 'src' || (s_suppkey % 20) AS source_id, s_suppkey % 2 = 0 AS initial, CAST(3 AS BIGINT) AS total, CAST(s_suppkey % 4 AS BIGINT) AS completed,
+    CAST(CASE WHEN s_nationkey % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS failed, {EPOCH} + s_suppkey * 60000 AS active_at, CAST(1000 AS BIGINT) AS total_bytes, CAST(s_suppkey * 10 AS BIGINT) AS processed FROM supplier)"""
+
 QUEUES = ("click", "error", "purchase", "signup", "view")
 
 
@@ -158,6 +208,4 @@ def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     mails = emails(spark, sf_dir)
     body = table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("id"), "text", F.lit("").alias("html"))
-    empty = mails.sparkSession.createDataFrame([], "email_id string, attachment_id string")
-    files = attachments(spark, sf_dir).limit(0)
-    return build_search_docs(mails, empty, files, body)
+    return build_search_docs(mails, mail_links(spark, sf_dir), attachments(spark, sf_dir), body)

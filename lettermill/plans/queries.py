@@ -13,7 +13,7 @@ from lettermill.operators import aggregates as agg, duplicates as dup, filters a
 from lettermill.operators.ingest import cap_urls, dedup_attachments, dedup_messages
 from lettermill.plans import mailview as V, views
 from lettermill.schemas import Archive
-from lettermill.session import materialize, prepare
+from lettermill.session import prepare, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -286,12 +286,13 @@ def recipient_list(spark, sf):
 _CLUSTERS_SQL = """edges AS (
   SELECT a.id AS x, b.id AS y FROM signals a JOIN signals b ON a.storage_hash = b.storage_hash
   UNION SELECT a.id, b.id FROM signals a JOIN signals b ON a.mid = b.mid AND a.sender = b.sender AND a.recipient_fp = b.recipient_fp AND a.sent_at = b.sent_at
-    AND a.subject_hash IS NOT DISTINCT FROM b.subject_hash AND a.body_hash IS NOT DISTINCT FROM b.body_hash),
+    AND a.subject_hash IS NOT DISTINCT FROM b.subject_hash AND a.body_hash IS NOT DISTINCT FROM b.body_hash
+    AND a.attachment_fp IS NOT DISTINCT FROM b.attachment_fp AND a.metadata_fp = b.metadata_fp),
 reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
 roots AS (SELECT x AS id, min(y) AS root FROM reach GROUP BY x),
 rooted AS (SELECT * FROM signals JOIN roots USING (id)),
 buckets AS (SELECT *, min(id) OVER w AS bucket, min(root) OVER w AS a, max(root) OVER w AS b FROM rooted
-  WINDOW w AS (PARTITION BY subject_hash, sender, recipient_fp, sent_at, body_hash)),
+  WINDOW w AS (PARTITION BY subject_hash, sender, recipient_fp, sent_at, body_hash, attachment_fp)),
 likely AS (SELECT 'likely' AS class, bucket AS min_id, id, root, sent_at, archived_at FROM buckets WHERE a <> b),
 exact AS (SELECT 'exact' AS class, root AS min_id, id, root, sent_at, archived_at FROM rooted
   WHERE root IN (SELECT root FROM rooted GROUP BY root HAVING count(*) > 1) AND root NOT IN (SELECT root FROM likely)),
@@ -299,28 +300,23 @@ members AS (SELECT * FROM exact UNION ALL SELECT * FROM likely)"""
 _GROUPED_SQL = "SELECT 'cluster:' || min_id AS fingerprint, class, count(*) AS count, arg_min(id, (sent_at, archived_at, id)) AS keeper, string_agg(id, ',' ORDER BY sent_at, archived_at, id) AS members FROM members GROUP BY class, min_id"
 
 
-def _no_attachments(spark, sf) -> tuple[DataFrame, DataFrame]:
-    links = spark.createDataFrame([], "email_id string, attachment_id string")
-    return links, V.attachments(spark, sf)
-
-
 def _members(spark, sf) -> DataFrame:
-    return dup.cluster_members(V.emails(spark, sf), *_no_attachments(spark, sf), spark.createDataFrame([], "fingerprint string, created_at long"))
+    return dup.cluster_members(V.emails(spark, sf), V.mail_links(spark, sf), V.attachments(spark, sf), spark.createDataFrame([], "fingerprint string, created_at long"))
 
 
-@query("duplicate_groups", V.EMAILS_SQL, V.SIGNALS_SQL, _CLUSTERS_SQL, sql=_GROUPED_SQL)
+@query("duplicate_groups", V.EMAILS_SQL, V.MAIL_LINKS_SQL, V.ATTACHMENTS_SQL, V.SIGNALS_SQL, _CLUSTERS_SQL, sql=_GROUPED_SQL)
 def duplicate_groups(spark, sf):
     groups = dup.duplicate_groups(_members(spark, sf))
     return groups.select("fingerprint", "class", "count", "keeper", F.array_join("members", ",").alias("members"))
 
 
-@query("duplicate_counts", V.EMAILS_SQL, V.SIGNALS_SQL, _CLUSTERS_SQL, sql=f'SELECT count(*) AS "all", count(*) FILTER (WHERE class = \'exact\') AS exact, count(*) FILTER (WHERE class = \'likely\') AS likely FROM ({_GROUPED_SQL})')
+@query("duplicate_counts", V.EMAILS_SQL, V.MAIL_LINKS_SQL, V.ATTACHMENTS_SQL, V.SIGNALS_SQL, _CLUSTERS_SQL, sql=f'SELECT count(*) AS "all", count(*) FILTER (WHERE class = \'exact\') AS exact, count(*) FILTER (WHERE class = \'likely\') AS likely FROM ({_GROUPED_SQL})')
 def duplicate_counts(spark, sf):
     return agg.duplicate_counts(dup.duplicate_groups(_members(spark, sf)))
 
 
 @query(
-    "duplicate_approve_all", V.EMAILS_SQL, V.SIGNALS_SQL, _CLUSTERS_SQL,
+    "duplicate_approve_all", V.EMAILS_SQL, V.MAIL_LINKS_SQL, V.ATTACHMENTS_SQL, V.SIGNALS_SQL, _CLUSTERS_SQL,
     sql=f"""SELECT id, CASE WHEN id IN (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY min_id ORDER BY sent_at, archived_at, id) AS k FROM exact) WHERE k > 1)
       THEN {V.NOW} ELSE deleted_at END AS deleted_at FROM emails""",
 )
@@ -379,18 +375,24 @@ def contact_upsert(spark, sf):
     return mut.upsert_contacts(old, parsed)[1]
 
 
-@query(
-    "message_dedup", V.EMAILS_SQL, V.SOURCES_SQL,
-    sql="""SELECT e.id, min(e.id) OVER w AS survivor_id, CASE WHEN e.id = min(e.id) OVER w THEN 'archived' ELSE 'duplicate' END AS status
-    FROM emails e JOIN sources s ON s.id = ingestion_source_id WINDOW w AS (PARTITION BY coalesce(merged_into_id, s.id), coalesce(message_id, 'generated-' || doc_id))""",
-)
+# every tenth email is in the archive already, every fiftieth could not be read
+_TOLD_SQL = """keyed AS (SELECT e.id, coalesce(merged_into_id, s.id) AS root, coalesce(message_id, 'generated-' || doc_id) AS key, doc_id FROM emails e JOIN sources s ON s.id = ingestion_source_id),
+known AS (SELECT root, key, min('k' || id) AS k FROM keyed WHERE doc_id % 10 = 0 GROUP BY root, key),
+told AS (SELECT id, coalesce(k, min(id) OVER w) AS survivor_id, CASE WHEN k IS NULL AND id = min(id) OVER w THEN 'archived' ELSE 'duplicate' END AS status
+    FROM keyed LEFT JOIN known USING (root, key) WHERE doc_id % 50 <> 7 WINDOW w AS (PARTITION BY root, key)
+  UNION ALL SELECT id, NULL, 'failed' FROM keyed WHERE doc_id % 50 = 7)"""
+
+
+@query("message_dedup", V.EMAILS_SQL, V.SOURCES_SQL, _TOLD_SQL, sql="SELECT id, survivor_id, status FROM told")
 def message_dedup(spark, sf):
-    rows = V.emails(spark, sf).select("id", "ingestion_source_id", F.col("provider_message_id").alias("message_key"), F.lit("a.mbox").alias("input_path"), F.col("id").cast("long").alias("ordinal"))
-    archive = spark.createDataFrame([], "id string, ingestion_source_id string, provider_message_id string")
+    e = V.emails(spark, sf)
+    key = F.when(F.col("id").cast("long") % 50 != 7, F.col("provider_message_id"))
+    rows = e.select("id", "ingestion_source_id", key.alias("message_key"), F.lit("a.mbox").alias("input_path"), F.col("id").cast("long").alias("ordinal"))
+    archive = e.where("cast(id as long) % 10 = 0").select(F.concat(F.lit("k"), "id").alias("id"), "ingestion_source_id", "provider_message_id")
     return dedup_messages(rows, archive, V.sources(spark, sf)).select("id", "survivor_id", "status")
 
 
-@query("import_stats", V.EMAILS_SQL, V.SOURCES_SQL, sql="SELECT count(*) FILTER (WHERE k = 1) AS archived, count(*) FILTER (WHERE k > 1) AS duplicates, CAST(0 AS BIGINT) AS failed FROM (SELECT row_number() OVER (PARTITION BY coalesce(merged_into_id, s.id), coalesce(message_id, 'generated-' || doc_id) ORDER BY e.id) AS k FROM emails e JOIN sources s ON s.id = ingestion_source_id)")
+@query("import_stats", V.EMAILS_SQL, V.SOURCES_SQL, _TOLD_SQL, sql="SELECT count(*) FILTER (WHERE status = 'archived') AS archived, count(*) FILTER (WHERE status = 'duplicate') AS duplicates, count(*) FILTER (WHERE status = 'failed') AS failed FROM told")
 def import_stats(spark, sf):
     return agg.import_stats(message_dedup(spark, sf))
 
@@ -418,47 +420,48 @@ def _tokens_sql(c: str) -> str:
 
 
 _DOCS_SQL = """docs AS (SELECT id AS email_id, subject, text AS body, sender_email || ' ' || sender_name AS sender,
-  to_address || CASE WHEN cc_address IS NULL THEN '' ELSE ' ' || cc_address END AS recipients, import_source || ' ' || source_path || ' ' || lang || ' ' || source AS meta FROM emails)"""
+  to_address || CASE WHEN cc_address IS NULL THEN '' ELSE ' ' || cc_address END AS recipients, import_source || ' ' || source_path || ' ' || lang || ' ' || source AS meta,
+  coalesce((SELECT string_agg(filename || chr(10), chr(10) ORDER BY filename) FROM links JOIN attachments a ON a.id = attachment_id WHERE email_id = emails.id), '') AS attachments FROM emails)"""
 _POSTINGS_SQL = "postings AS (" + " UNION ALL ".join(
-    f"SELECT email_id, '{f}' AS field, unnest({_tokens_sql(f)}) AS term, generate_subscripts({_tokens_sql(f)}, 1) - 1 AS pos FROM docs" for f in ("subject", "body", "sender", "recipients", "meta")
+    f"SELECT email_id, '{f}' AS field, unnest({_tokens_sql(f)}) AS term, generate_subscripts({_tokens_sql(f)}, 1) - 1 AS pos FROM docs" for f in ("subject", "body", "sender", "recipients", "attachments", "meta")
 ) + ")"
 
 
 def _postings(spark, sf) -> DataFrame:
-    return srch.build_postings(V.search_docs(spark, sf))
+    return srch.save_index(srch.build_postings(V.search_docs(spark, sf)), scratch_path(spark, "postings"))
 
 
-@query("search_postings", V.EMAILS_SQL, _DOCS_SQL, _POSTINGS_SQL, sql="SELECT term, field, count(DISTINCT email_id) AS emails, count(*) AS tf, CAST(sum(pos) AS BIGINT) AS places FROM postings GROUP BY ALL")
+@query("search_postings", V.EMAILS_SQL, V.MAIL_LINKS_SQL, V.ATTACHMENTS_SQL, _DOCS_SQL, _POSTINGS_SQL, sql="SELECT term, field, count(DISTINCT email_id) AS emails, count(*) AS tf, CAST(sum(pos) AS BIGINT) AS places FROM postings GROUP BY ALL")
 def search_postings(spark, sf):
     places = F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p)
-    return _postings(spark, sf).groupBy("term", "field").agg(F.count("*").alias("emails"), F.sum("tf").alias("tf"), F.sum(places).alias("places"))
+    return srch.build_postings(V.search_docs(spark, sf)).groupBy("term", "field").agg(F.count("*").alias("emails"), F.sum("tf").alias("tf"), F.sum(places).alias("places"))
 
 
-@query("search_and_prefix", V.EMAILS_SQL, _DOCS_SQL, _POSTINGS_SQL, sql="SELECT email_id FROM postings WHERE term = 'the' INTERSECT SELECT email_id FROM postings WHERE term = 'with' INTERSECT SELECT email_id FROM postings WHERE term LIKE 'ating%'")
+@query("search_and_prefix", V.EMAILS_SQL, V.MAIL_LINKS_SQL, V.ATTACHMENTS_SQL, _DOCS_SQL, _POSTINGS_SQL, sql="SELECT email_id FROM postings WHERE term = 'the' INTERSECT SELECT email_id FROM postings WHERE term = 'with' INTERSECT SELECT email_id FROM postings WHERE term LIKE 'ating%'")
 def search_and_prefix(spark, sf):
     return srch.match(_postings(spark, sf), 'The "with ating')
 
 
-@query("search_any", V.EMAILS_SQL, _DOCS_SQL, _POSTINGS_SQL, sql="SELECT DISTINCT email_id FROM postings WHERE field IN ('subject', 'meta') AND (term = 'fr' OR term LIKE 'src7%')")
+@query("search_any", V.EMAILS_SQL, V.MAIL_LINKS_SQL, V.ATTACHMENTS_SQL, _DOCS_SQL, _POSTINGS_SQL, sql="SELECT DISTINCT email_id FROM postings WHERE field IN ('subject', 'meta') AND (term = 'fr' OR term LIKE 'src7%')")
 def search_any(spark, sf):
     return srch.match(_postings(spark, sf), "fr src7", ["subject", "tags", "nonsense"], or_mode=True)
 
 
-@query("search_phrase", V.EMAILS_SQL, _DOCS_SQL, _POSTINGS_SQL, sql="SELECT DISTINCT a.email_id FROM postings a JOIN postings b USING (email_id, field) WHERE b.pos = a.pos + 1 AND a.term = 'of' AND b.term LIKE 'the%'")
+@query("search_phrase", V.EMAILS_SQL, V.MAIL_LINKS_SQL, V.ATTACHMENTS_SQL, _DOCS_SQL, _POSTINGS_SQL, sql="SELECT DISTINCT a.email_id FROM postings a JOIN postings b USING (email_id, field) WHERE b.pos = a.pos + 1 AND a.term = 'of' AND b.term LIKE 'the%'")
 def search_phrase(spark, sf):
     return srch.match(_postings(spark, sf), "of-the")
 
 
-@query("search_clauses", V.EMAILS_SQL, _DOCS_SQL, _POSTINGS_SQL, sql="SELECT email_id FROM postings WHERE field = 'sender' AND term LIKE 'u1%' UNION SELECT email_id FROM postings WHERE field = 'recipients' AND term LIKE 'c3%'")
+@query("search_clauses", V.EMAILS_SQL, V.MAIL_LINKS_SQL, V.ATTACHMENTS_SQL, _DOCS_SQL, _POSTINGS_SQL, sql="SELECT email_id FROM postings WHERE field = 'sender' AND term LIKE 'u1%' UNION SELECT email_id FROM postings WHERE field = 'recipients' AND term LIKE 'c3%'")
 def search_clauses(spark, sf):
     return srch.match_clauses(_postings(spark, sf), {"sender": "u1", "recipients": "c3"}, "any")
 
 
 @query(
-    "search_bm25", V.EMAILS_SQL, _DOCS_SQL, _POSTINGS_SQL,
+    "search_bm25", V.EMAILS_SQL, V.MAIL_LINKS_SQL, V.ATTACHMENTS_SQL, _DOCS_SQL, _POSTINGS_SQL,
     sql="""SELECT email_id, round(-sum(greatest(ln((n_all - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / avg_length))), 6) AS score FROM (
       SELECT email_id, k, f, count(*) OVER (PARTITION BY k) AS n FROM (
-        SELECT email_id, k, sum(CASE field WHEN 'subject' THEN 10.0 WHEN 'body' THEN 2.0 WHEN 'sender' THEN 6.0 WHEN 'recipients' THEN 3.0 ELSE 2.0 END) AS f
+        SELECT email_id, k, sum(CASE field WHEN 'subject' THEN 10.0 WHEN 'body' THEN 2.0 WHEN 'sender' THEN 6.0 WHEN 'recipients' THEN 3.0 WHEN 'attachments' THEN 1.0 ELSE 2.0 END) AS f
         FROM postings, (VALUES (0), (1)) AS q(k) WHERE (k = 0 AND term = 'onre') OR (k = 1 AND term LIKE 'er%') GROUP BY ALL)) h
     JOIN (SELECT email_id, count(*) AS length FROM postings GROUP BY 1) l USING (email_id),
     (SELECT count(*) AS n_all, avg(length) AS avg_length FROM (SELECT d.email_id, count(p.term) AS length FROM docs d LEFT JOIN postings p USING (email_id) GROUP BY 1))
@@ -466,7 +469,7 @@ def search_clauses(spark, sf):
 )
 def search_bm25(spark, sf):
     docs = V.search_docs(spark, sf)
-    postings = materialize(srch.build_postings(docs), "postings")
+    postings = srch.save_index(srch.build_postings(docs), scratch_path(spark, "postings"))
     scored = srch.bm25(srch.match(postings, "onre er"), postings, srch.doc_lengths(docs), "onre er")
     return scored.select("email_id", F.round("score", 6).alias("score"))
 
@@ -500,11 +503,6 @@ def page_links(spark, sf):
     return tags.select("page_id", F.col("attrs")["href"].alias("url")).groupBy("page_id", "url").agg(F.count("*").alias("n"))
 
 
-@query("page_policy", sql="SELECT page_id, FALSE AS tracker, CAST(NULL AS VARCHAR) AS blocked, TRUE AS safe FROM pages")
-def page_policy(spark, sf):
-    return V.table(spark, sf, "pages").select("page_id", H.is_tracking_url("url").alias("tracker"), H.url_block_reason("url").alias("blocked"), H.is_safe_link("url").alias("safe"))
-
-
 @query(
     "page_entities",
     # the ampersands that come of entities are set aside, so that none is decoded twice
@@ -514,9 +512,10 @@ def page_entities(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", H.decode_entities("html").alias("html"))
 
 
-@query("page_styles", sql=r"SELECT page_id, trim(regexp_extract(html, '<style>([^<]*)</style>', 1)) AS css FROM pages")
+@query("page_styles", sql=r"SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<style>([^<]*)</style>', 1), lambda x: trim(x)), '|') AS css FROM pages")
 def page_styles(spark, sf):
-    return V.table(spark, sf, "pages").select("page_id", H.sanitize_css(F.regexp_extract("html", "<style>([^<]*)</style>", 1)).alias("css"))
+    sheets = F.regexp_extract_all("html", F.lit("<style>([^<]*)</style>"), 1)
+    return V.table(spark, sf, "pages").select("page_id", F.array_join(F.transform(sheets, H.sanitize_css), "|").alias("css"))
 
 
 @query("page_first_links", sql=r"""SELECT page_id, ord, url FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos, url) AS ord, url FROM (

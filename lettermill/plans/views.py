@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lettermill.functions.dates import iso_ms
-from lettermill.functions.html import extract_remote_urls, is_safe_image, is_tracking_pixel, is_tracking_url, scan_tags, to_remote_url, url_block_reason
+from lettermill.functions.html import css_urls, extract_remote_urls, is_safe_image, is_tracking_pixel, is_tracking_url, scan_tags, srcset_urls, to_remote_url, url_block_reason
 from lettermill.functions.text import flatten_recipients, progress_percent, sender_label, subject_label
 from lettermill.operators import aggregates as agg
 from lettermill.operators.duplicates import cluster_members, duplicate_groups
@@ -94,11 +94,15 @@ def review_duplicates(tables: Archive, classification: str | None = None, page=1
 
 
 def audit_urls(df: DataFrame, html: str, key: str) -> DataFrame:
-    """``(key, url, tag, tracker, pixel, blocked)`` of every remote URL in source and link attributes."""
-    tags = scan_tags(df, html, key).where(F.col("tag").isin("img", "link", "a", "script", "iframe", "source", "video"))
-    url = to_remote_url(F.coalesce(F.col("attrs")["src"], F.col("attrs")["href"]))
-    rows = tags.select(key, "pos", "tag", url.alias("url"), is_tracking_pixel(F.col("attrs")).alias("pixel")).where("url is not null")
-    return rows.withColumn("tracker", is_tracking_url("url")).withColumn("blocked", url_block_reason("url"))
+    """``(key, pos, tag, url, pixel, tracker, blocked)`` of every remote URL of a tag: ``src``, ``href``,
+    ``poster``, ``background``, source sets and style attributes, and of style sheets (tag ``style``)."""
+    a, none = F.col("attrs"), F.expr("cast(array() as array<string>)")
+    named = F.array_compact(F.array(*[to_remote_url(a[k]) for k in ("src", "href", "poster", "background")]))
+    urls = F.array_distinct(F.concat(named, F.coalesce(srcset_urls(a["srcset"]), none), F.coalesce(css_urls(a["style"]), none)))
+    tags = scan_tags(df, html, key).select(key, F.col("pos").cast("long").alias("pos"), "tag", is_tracking_pixel(a).alias("pixel"), F.explode(urls).alias("url"))
+    sheets = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<style[^>]*>(.*?)</style>"), 1)
+    styled = df.select(key, F.posexplode(sheets).alias("pos", "__css")).select(key, F.col("pos").cast("long").alias("pos"), F.lit("style").alias("tag"), F.lit(False).alias("pixel"), F.explode(F.array_distinct(css_urls(F.col("__css")))).alias("url"))
+    return tags.unionByName(styled).withColumn("tracker", is_tracking_url("url")).withColumn("blocked", url_block_reason("url"))
 
 
 def archived_urls(df: DataFrame, html: str, key: str) -> DataFrame:
