@@ -18,6 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from lettermill.llm.blocks import give_back
+
 UNKNOWN = "und"
 
 
@@ -150,6 +152,7 @@ def fit(labelled: DataFrame, cfg: LangIdConfig = LangIdConfig(), id_col: str = "
                     total += c > 0
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.append(total, n).tolist(), pa.int64()), pa.array(range(cfg.width + 1), pa.int64())], names=["n", "slot"])
+        give_back()
 
     found = rows.select("text").mapInArrow(document_frequencies, "n long, slot long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(cfg.width + 1)
@@ -168,11 +171,14 @@ def fit(labelled: DataFrame, cfg: LangIdConfig = LangIdConfig(), id_col: str = "
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["draw", "id"]).head(cfg.per_language)
-        got = [c for c in (counts(t, cfg.width) for t in pdf["text"]) if c is not None]
-        if not got:
+        raw, n = np.zeros((len(pdf), cfg.width), np.uint32), 0
+        for c in (counts(t, cfg.width) for t in pdf["text"]):
+            if c is not None:
+                raw[n], n = c, n + 1
+        if not n:
             return pd.DataFrame({"lang": [], "centroid": [], "scores": [], "lengths": [], "noise": []})
-        raw = np.array(got)
-        x = _unit(raw, idf).astype(np.float32)
+        raw = raw[:n]
+        x = np.vstack([_unit(raw[at : at + 128], idf).astype(np.float32) for at in range(0, n, 128)])
         c = _cluster(x, cfg)
         folds = [slice(0, None, 2), slice(1, None, 2)]
         parts = [(own, other) for own, other in zip(folds, folds[::-1]) if len(x[own]) and len(x[other])]
@@ -222,6 +228,7 @@ def predict(docs: DataFrame, model: LangIdModel, text_col: str = "text", keep: l
                 columns = [part.column(k) for k in range(len(kept))]
                 columns += [pa.array(langs.tolist(), pa.string()), pa.array(score), pa.array(rejected)]
                 yield pa.RecordBatch.from_arrays(columns, names=kept + new)
+        give_back()
 
     at_text = kept.index(text_col) if text_col in kept else len(kept)
     rows = docs.select(*kept, *([] if text_col in kept else [F.col(text_col).alias("__text")]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lettermill.llm.blocks import block_pairs, forest, runs
+from lettermill.llm.blocks import block_pairs, forest, give_back, runs
 from lettermill.llm.words import forget_words, shingles
 from lettermill.operators.components import connected_components, join_hot
 from lettermill.session import materialize
@@ -81,6 +81,7 @@ def signatures(docs: DataFrame, cfg: MinHashConfig, id_col: str = "doc_id", text
                 names=["doc_id", "n_shingles", "set_a", "set_b", "coords"],
             )
         forget_words()
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(kernel, "doc_id long, n_shingles long, set_a long, set_b long, coords array<long>")
@@ -180,6 +181,7 @@ def _with_sets(docs: DataFrame, cfg: MinHashConfig) -> DataFrame:
                     names=["cluster", "n", "rep", "shingles"],
                 )
         forget_words()
+        give_back()
 
     return docs.select("cluster", "n", "rep", "text").mapInArrow(kernel, "cluster long, n long, rep long, shingles binary")
 

@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lettermill.llm.blocks import give_back
 from lettermill.llm.lookup import count_below
-from lettermill.llm.tokens import encoder
+from lettermill.llm.tokens import encoder, settle_encoders
 from lettermill.session import materialize
 
 
@@ -98,6 +99,8 @@ def _placing(batches: Iterator[pa.RecordBatch], cfg: PackingConfig) -> Iterator[
                 [part.column("doc_id"), pa.array(key.astype(np.int64)), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "key", "doc_tokens", "ids"],
             )
+    settle_encoders()
+    give_back()
 
 
 def _cutting(batches: Iterator[pa.RecordBatch], cfg: PackingConfig) -> Iterator[pa.RecordBatch]:
@@ -119,6 +122,7 @@ def _cutting(batches: Iterator[pa.RecordBatch], cfg: PackingConfig) -> Iterator[
         kinds = [pa.int64()] * 6 + [pa.binary()]
         names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names=names)
+    give_back()
 
 
 def pack(docs: DataFrame, cfg: PackingConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

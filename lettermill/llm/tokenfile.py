@@ -24,7 +24,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lettermill.llm.tokens import encoder
+from lettermill.llm.blocks import give_back
+from lettermill.llm.tokens import encoder, settle_encoders
 
 
 @dataclass(frozen=True)
@@ -111,6 +112,8 @@ def _segments(batches: Iterator[pa.RecordBatch], cfg: TokenFileConfig) -> Iterat
                 yield close()
     if ids:
         yield close()
+    settle_encoders()
+    give_back()
 
 
 def write_tokens(docs: DataFrame, path: str, cfg: TokenFileConfig, id_col: str = "doc_id", text_col: str = "text") -> None:

@@ -3,7 +3,7 @@
 A BPE model sees a text part by part: its pre-tokenizer cuts the text into runs of letters,
 digits, other signs and blanks, and ids never reach over such a cut. Where a text holds
 only characters that every Unicode table classes alike, one pattern finds the same parts.
-Each worker remembers, under a bound, the ids of the parts it has met and asks the library's
+Each worker remembers, under a bound and from task to task, the ids of the parts it has met and asks the library's
 model for the rest. Texts with other characters go piece by blank-separated piece, those
 with strings of added tokens go whole. Other kinds of tokenizer encode each text directly.
 """
@@ -19,7 +19,7 @@ from itertools import groupby
 import numpy as np
 
 #: parts of a generation, of two at most; one takes about 150 bytes, longer ones are not kept
-_REMEMBERED = 500_000
+_REMEMBERED = 100_000
 _LONGEST = 64
 #: letters that no normaliser recomposes and that lower-case to one letter of their own
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ɏ"
@@ -122,6 +122,13 @@ class Encoder:
         return b"".join(out)
 
 
+def settle_encoders() -> None:
+    """Keeps of what encoders remember the younger half, at the end of a task."""
+    for known in _encoders.values():
+        if known.parts is not None:
+            known.known.old = {}
+
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
