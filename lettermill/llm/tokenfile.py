@@ -30,7 +30,8 @@ from lettermill.llm.tokens import encoder, settle_encoders
 
 @dataclass(frozen=True)
 class TokenFileConfig:
-    """``segment_ids`` bounds a segment but for a longer single document."""
+    """``segment_ids`` bounds a segment but for a longer single document, ``remembered`` the parts
+    of texts in each of two generations whose ids a worker keeps."""
 
     tokenizer: str
     end_id: int
@@ -39,6 +40,7 @@ class TokenFileConfig:
     segment_ids: int = 1 << 20
     segment_docs: int = 1 << 15
     level: int = 1
+    remembered: int = 200_000
 
 
 _SEGMENT = (
@@ -79,7 +81,7 @@ def decompress(data: bytes, chunks: list[int], n_ids: int, width: int, unit: str
 
 
 def _segments(batches: Iterator[pa.RecordBatch], cfg: TokenFileConfig) -> Iterator[pa.RecordBatch]:
-    enc = encoder(cfg.tokenizer)
+    enc = encoder(cfg.tokenizer, remembered=cfg.remembered)
     end = np.array([cfg.end_id], enc.dtype).tobytes()
     width = enc.dtype.itemsize
     shard, seq, start = TaskContext.get().partitionId(), 0, 0

@@ -18,7 +18,7 @@ from itertools import groupby
 
 import numpy as np
 
-#: parts of a generation, of two at most; one takes about 150 bytes, longer ones are not kept
+#: parts of a generation, of two at most, unless told otherwise; one takes some 300 bytes, longer ones are not kept
 _REMEMBERED = 100_000
 _LONGEST = 64
 #: letters that no normaliser recomposes and that lower-case to one letter of their own
@@ -46,9 +46,9 @@ _BYTE_LETTERS = {b: x for b, x in enumerate(_byte_letters())}
 class _Remembered(dict):
     """Ids by string in two generations: what is used again moves to the young one, the rest goes."""
 
-    def __init__(self, find):
+    def __init__(self, find, bound: int):
         super().__init__()
-        self.find, self.old = find, {}
+        self.find, self.bound, self.old = find, bound, {}
 
     def __missing__(self, x: str) -> bytes:
         ids = self.old.get(x)
@@ -60,16 +60,17 @@ class _Remembered(dict):
         return ids
 
     def age(self) -> None:
-        if len(self) > _REMEMBERED:
+        if len(self) > self.bound:
             self.old = dict(self)
             self.clear()
 
 
 class Encoder:
     """Encodes texts to little-endian ids of ``dtype``, as ``Tokenizer.from_file(path)`` does without
-    special tokens around them; ``specials_as_text`` takes strings of special tokens as ordinary text."""
+    special tokens around them; ``specials_as_text`` takes strings of special tokens as ordinary text.
+    ``remembered`` bounds the parts of a generation, of two at most, whose ids are kept."""
 
-    def __init__(self, path: str, specials_as_text: bool = False):
+    def __init__(self, path: str, specials_as_text: bool = False, remembered: int | None = None):
         os.environ["RAYON_NUM_THREADS"] = "1"
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -92,7 +93,7 @@ class Encoder:
         else:
             self.parts = None
             return
-        self.known = _Remembered(self._part)
+        self.known = _Remembered(self._part, remembered or _REMEMBERED)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
@@ -129,12 +130,12 @@ def settle_encoders() -> None:
             known.known.old = {}
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, int | None], Encoder] = {}
 
 
-def encoder(path: str, specials_as_text: bool = False) -> Encoder:
-    """One encoder a file, and way with special tokens, and worker process."""
-    key = (path, specials_as_text)
+def encoder(path: str, specials_as_text: bool = False, remembered: int | None = None) -> Encoder:
+    """One encoder a file, and way with special tokens, and bound, and worker process."""
+    key = (path, specials_as_text, remembered)
     if key not in _encoders:
         _encoders[key] = Encoder(*key)
     return _encoders[key]
