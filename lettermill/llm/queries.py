@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lettermill.llm.alignment import AlignConfig, align, count_links
 from lettermill.llm.annforest import nearest
 from lettermill.llm.chat import format_chats
 from lettermill.llm.embdedup import embedding_near_duplicates
 from lettermill.llm.langid import fit, held_out, predict
 from lettermill.llm.licenses import scan_licenses
 from lettermill.llm.minhash import MinHashConfig, near_duplicates
-from lettermill.llm import mixing
+from lettermill.llm import mixing, urlfilter
 from lettermill.llm.packing import PackingConfig, pack
+from lettermill.llm.pieces import PieceEncoder
 from lettermill.llm.sharding import shard
 from lettermill.llm.tokenfile import TokenFileConfig, read_tokens, write_tokens
+from lettermill.llm.urlfilter import judge_urls
+from lettermill.llm.variants import group_variants
 from lettermill.session import prepare, scratch_path
 
 
@@ -81,6 +85,21 @@ def op10_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(*sized.columns, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = AlignConfig(_vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+    aligned = align(spark.read.parquet(f"{sf_dir}/documents.parquet"), cfg)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return count_links(aligned.withColumn("groups_sha256", digest).drop("groups"), PieceEncoder(cfg.piece_path).width)
+
+
+def op12_trie_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 _OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_bitplane_token_files": op2_bitplane_token_files,
@@ -92,6 +111,9 @@ _OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_poisson_mixing": op8_poisson_mixing,
     "op9_prefix_forest_search": op9_prefix_forest_search,
     "op10_bounded_ring_sharding": op10_bounded_ring_sharding,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_trie_spelling_variants": op12_trie_spelling_variants,
+    "op13_bloom_cascade_urls": op13_bloom_cascade_urls,
 }
 
 
@@ -103,4 +125,5 @@ QUERIES = {name: _prepared(f) for name, f in _OPERATORS.items()}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_poisson_mixing": mixing.oracle_sql(),
+    "op13_bloom_cascade_urls": urlfilter.oracle_sql(),
 }

@@ -43,8 +43,8 @@ def _byte_letters() -> list[str]:
 _BYTE_LETTERS = {b: x for b, x in enumerate(_byte_letters())}
 
 
-class _Remembered(dict):
-    """Ids by string in two generations: what is used again moves to the young one, the rest goes."""
+class Remembered(dict):
+    """What was found for strings, in two generations: what is used again moves to the young one, the rest goes."""
 
     def __init__(self, find, bound: int):
         super().__init__()
@@ -64,6 +64,10 @@ class _Remembered(dict):
             self.old = dict(self)
             self.clear()
 
+    def settle(self) -> None:
+        """Keeps the younger half, at the end of a task."""
+        self.old = {}
+
 
 class Encoder:
     """Encodes texts to little-endian ids of ``dtype``, as ``Tokenizer.from_file(path)`` does without
@@ -93,7 +97,7 @@ class Encoder:
         else:
             self.parts = None
             return
-        self.known = _Remembered(self._part, remembered or _REMEMBERED)
+        self.known = Remembered(self._part, remembered or _REMEMBERED)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
@@ -127,7 +131,7 @@ def settle_encoders() -> None:
     """Keeps of what encoders remember the younger half, at the end of a task."""
     for known in _encoders.values():
         if known.parts is not None:
-            known.known.old = {}
+            known.known.settle()
 
 
 _encoders: dict[tuple[str, bool, int | None], Encoder] = {}
