@@ -4,8 +4,9 @@ The distinct words form a trie that is two tables: a row a branching node with i
 edges, and the words that end at nodes. Chains without branches are one edge with a longer
 label, so the walk takes as many levels as some word has branching prefixes, however long
 words are. A state ``(word, position, node, edits)`` starts at the root; each level joins
-all states with the edges of their nodes, whose labels and next letters drop most of them at
-once. Two words part at the first letter in which they differ, so a state spends its one edit
+states that may still spend their edit with all edges of their nodes, and the others with the
+one edge that goes on with their next letter; labels and the letters after them drop most of
+them at once. Two words part at the first letter in which they differ, so a state spends its one edit
 where it leaves its own path: there an edge replaces the letter, or the letter is deleted.
 Of two near words only one finds the other: the longer, or that of the smaller letter. States
 that have read their word with one edit and stand where a word ends are neighbours.
@@ -127,11 +128,12 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(nodes, pa.int64())], names=["id", "at", "node"])
 
 
-def build_trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(node, edges)`` of branching nodes, and ``(node, word)`` where words end.
+def build_trie(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The edges, the same as one row a branching node, and ``(word, node)`` where words end.
 
-    ``edges`` holds an edge a letter at most, so no row is larger than the alphabet: ``first`` letter,
-    ``label``, ``child``, ``next``: the first letters of the child's edges, ``ends``: whether a word ends there.
+    An edge is ``(node, first, label, size, child, next, ends)``: its label and the label's first letter and
+    length, the first letters of the child's edges, and whether a word ends at the child. A node has one a
+    letter at most, so no row of nodes is larger than the alphabet.
     """
     branching = words.select("word").mapInArrow(_prefixes, "node long, next int").groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b")).where("a <> b").select("node")
     located = words.select("id", "word").mapInArrow(_located, "id long, at int, node long")
@@ -142,8 +144,10 @@ def build_trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     following = edges.groupBy("node").agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("next"))
     seen = join_hot(edges, following.withColumnRenamed("node", "child"), "child", "left")
     seen = join_hot(seen, last.select(F.col("node").alias("child"), F.lit(True).alias("ends")).distinct(), "child", "left")
-    edge = F.struct(F.substring("label", 1, 1).alias("first"), "label", F.length("label").alias("size"), "child", F.coalesce("next", F.lit("")).alias("next"), F.coalesce("ends", F.lit(False)).alias("ends"))
-    return materialize(seen.groupBy("node").agg(F.collect_list(edge).alias("edges")), "trie"), last
+    edge = [F.substring("label", 1, 1).alias("first"), "label", F.length("label").alias("size"), "child", F.coalesce("next", F.lit("")).alias("next"), F.coalesce("ends", F.lit(False)).alias("ends")]
+    table = materialize(seen.select("node", *edge), "trie")
+    nodes = table.groupBy("node").agg(F.collect_list(F.struct(*[c for c in table.columns if c != "node"])).alias("edges"))
+    return table, materialize(nodes, "trie-node"), last
 
 
 def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,43 +156,44 @@ def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_nodes(w)[-1] for w in words], pa.int64())], names=["word", "node"])
 
 
-def _moves() -> Column:
-    """The states that a state ``(word, pos, node, edits)`` goes to over the ``edges`` of its node."""
-    n, pos, edits = F.length("word"), F.col("pos"), F.col("edits")
-    own, after = F.substr("word", pos + 1, F.lit(1)), F.substr("word", pos + 2, F.lit(1))
+def _reads(at: Column) -> Column:
+    """Whether the word goes on with the edge's label from a place on."""
+    return F.substr("word", at + 1, F.col("size")) == F.col("label")
 
-    def reads(label: Column, size: Column, at: Column) -> Column:
-        return F.substr("word", at + 1, size) == label
 
-    def live(e: Column, to: Column) -> Column:
-        """Something of the word is left that the child goes on with, or nothing is and a word ends there."""
-        return F.when(to == n, e["ends"]).otherwise((to < n) & F.contains(e["next"], F.substr("word", to + 1, F.lit(1))))
+def _live(to: Column) -> Column:
+    """Something of the word is left that the edge's child goes on with, or nothing is and a word ends there."""
+    left = (to < F.length("word")) & F.contains("next", F.substr("word", to + 1, F.lit(1)))
+    return left | ((to == F.length("word")) & F.col("ends"))
 
-    def state(to: Column, e: Column, spent: int) -> Column:
-        return F.struct(to.cast("int").alias("pos"), e["child"].alias("node"), F.lit(spent).alias("edits"))
 
-    def over(e: Column) -> Column:
-        same = reads(e["label"], e["size"], pos)
-        to = pos + e["size"]
-        replaced = (edits == 0) & (e["first"] > own) & (own != "") & reads(F.substr(e["label"], F.lit(2)), e["size"] - 1, pos + 1) & live(e, to)
-        deleted = (edits == 0) & (e["first"] == after) & (after != own) & (after != "") & reads(e["label"], e["size"], pos + 1) & live(e, to + 1)
-        walked = same & ((edits == 0) | live(e, to))
-        return F.array(F.when(walked, state(to, e, 0)), F.when(replaced, state(to, e, 1)), F.when(deleted, state(to + 1, e, 1)))
+def _state(to: Column, edits: int) -> Column:
+    return F.struct(to.cast("int").alias("pos"), F.col("child").alias("node"), F.lit(edits).alias("edits"))
 
-    kept = F.filter(F.flatten(F.transform("edges", over)), lambda s: s.isNotNull())
-    # what has spent its edit keeps it spent
-    return F.transform(kept, lambda s: F.struct(s["pos"].alias("pos"), s["node"].alias("node"), F.greatest(s["edits"], edits).alias("edits")))
+
+def _moved(states: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The states after one more edge: of those without an edit over every edge, of the others over their own."""
+    pos, own, after = F.col("pos"), F.substr("word", F.col("pos") + 1, F.lit(1)), F.substr("word", F.col("pos") + 2, F.lit(1))
+    to = pos + F.col("size")
+    fresh = join_hot(states.where("edits = 0").select("word", "pos", "node"), nodes, "node")
+    fresh = fresh.select("word", "pos", F.inline("edges")).where((F.col("first") >= own) | (F.col("first") == after))
+    replaced = (F.col("first") > own) & (F.substr("word", pos + 2, F.col("size") - 1) == F.substr("label", F.lit(2))) & _live(to)
+    ahead = F.when(F.col("first") == own, F.when(_reads(pos), _state(to, 0))).when(replaced, _state(to, 1))
+    deleted = F.when((F.col("first") == after) & (own != after) & _reads(pos + 1) & _live(to + 1), _state(to + 1, 1))
+    fresh = fresh.select("word", F.explode(F.array(ahead, deleted)).alias("s")).where("s is not null").select("word", "s.*")
+    spent = join_hot(states.where("edits = 1").select("word", "pos", "node", own.alias("first")), edges, ["node", "first"])
+    spent = spent.where(_reads(pos) & _live(to)).select("word", _state(to, 1).alias("s")).select("word", "s.*")
+    return fresh.unionByName(spent)
 
 
 def near_words(words: DataFrame, max_levels: int = 100_000) -> DataFrame:
     """``(word, near)``, both ways round, of all words ``(id, word)`` one inserted, deleted or replaced letter apart."""
-    trie, last = build_trie(words)
-    states = words.select("word", F.lit(0).alias("pos"), F.lit(_ROOT).cast("long").alias("node"), F.lit(0).alias("edits"))
+    edges, nodes, last = build_trie(words)
+    states = materialize(words.select("word", F.lit(0).alias("pos"), F.lit(_ROOT).cast("long").alias("node"), F.lit(0).alias("edits")), "variants-start")
     done = []
     for _ in range(max_levels):
-        moved = join_hot(states, trie, "node").select("word", F.explode(_moves()).alias("s")).select("word", "s.*")
         seen = Observation()
-        level = materialize(moved.observe(seen, F.count("*").alias("n")), "variants-level")
+        level = materialize(_moved(states, edges, nodes).observe(seen, F.count("*").alias("n")), "variants-level")
         if not seen.get["n"]:
             break
         done.append(level)
