@@ -12,6 +12,7 @@ from lettermill.plans.queries import _CLUSTERS_SQL, _GROUPED_SQL, _members, LIVE
 from lettermill.schemas import Archive, SEARCH_DOCS
 from lettermill.session import scratch_path
 from lettermill.sources import mailbox as mb
+from lettermill.sources.ranged import list_files, read_eml_archives, write_eml_archives
 from lettermill.streaming import jobs
 
 NONE = "cast(array() as array<string>)"
@@ -532,6 +533,51 @@ def stream_import(spark, sf):
     return got.select(F.col("provider_message_id").alias("message_id"), "sent_at", F.col("sent_at_kind").alias("kind"), F.size("tags").cast("long").alias("tags"))
 
 
+def _attached_mail_files(spark, sf) -> str:
+    """The documents as mbox files of mails with one or two attachments: the text's first line, and the language."""
+    d = V.table(spark, sf, "documents")
+    i, line = F.col("doc_id").cast("string"), F.substring_index("text", "\n", 1)
+    part = lambda kind, name, body: F.concat(F.lit(f"--B\nContent-Type: {kind}; name="), name, F.lit("\nContent-Disposition: attachment; filename="), name, F.lit("\nContent-Transfer-Encoding: base64\n\n"), F.base64(F.encode(body, "UTF-8")), F.lit("\n"))
+    mail = F.concat(
+        F.lit("Message-ID: <m"), i, F.lit(">\nFrom: a@x.example\nSubject: s\nContent-Type: multipart/mixed; boundary=B\n\n--B\nContent-Type: text/plain\n\nhello\n"),
+        part("text/csv", F.concat("lang", F.lit(".csv")), line), F.when(F.col("doc_id") % 3 == 0, part("text/plain", F.lit("lang.txt"), F.col("lang"))).otherwise(""), F.lit("--B--\n"),
+    )
+    folder = scratch_path(spark, "mbox")
+    mb.export_mbox(d.select(mail.cast("binary").alias("raw")), folder)
+    return folder
+
+
+@query(
+    "stream_attachments",
+    sql="""WITH part AS (SELECT doc_id, split_part(text, chr(10), 1) AS body, lang || '.csv' AS filename, 'text/csv' AS kind FROM documents
+      UNION ALL SELECT doc_id, lang, 'lang.txt', 'text/plain' FROM documents WHERE doc_id % 3 = 0)
+    SELECT sha256(body) AS content, CAST(min(strlen(body)) AS BIGINT) AS size_bytes, count(DISTINCT doc_id) AS emails, count(DISTINCT kind) AS kinds FROM part GROUP BY body""",
+)
+def stream_attachments(spark, sf):
+    place = scratch_path(spark, "stream-attachments")
+    sources = spark.createDataFrame([("s1", None)], "id string, merged_into_id string")
+    jobs.stream_import(spark, _attached_mail_files(spark, sf), f"{place}/archive", sources, "s1", f"{place}/checkpoint", 3).awaitTermination()
+    links, held = spark.read.parquet(f"{place}/archive_links"), spark.read.parquet(f"{place}/archive_attachments")
+    by = links.join(held.withColumnRenamed("id", "attachment_id"), "attachment_id").groupBy("attachment_id")
+    rows = by.agg(F.first("content").alias("content"), F.first("size_bytes").alias("size_bytes"), F.count_distinct("email_id").alias("emails"), F.count_distinct("mime_type").alias("kinds"))
+    return rows.select(F.sha2("content", 256).alias("content"), "size_bytes", "emails", "kinds")
+
+
+@query(
+    "mail_archives",
+    sql=r"""SELECT 'in/' || source AS source_path, 'Doc ' || doc_id AS subject, md5(regexp_replace(text, '\s+', '', 'g')) AS body FROM documents""",
+)
+def mail_archives(spark, sf):
+    d = V.table(spark, sf, "documents")
+    raw = F.concat(F.lit("Subject: Doc "), F.col("doc_id").cast("string"), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "text")
+    mails = d.select(F.concat(F.lit("in/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".eml")).alias("name"), raw.cast("binary").alias("raw"))
+    folder = scratch_path(spark, "eml-zip")
+    write_eml_archives(mails, folder)
+    found = read_eml_archives(list_files(spark, folder, "*.zip"))
+    m = mb.parse_messages(found).join(found.select("file_path", "ordinal", "source_path"), ["file_path", "ordinal"])
+    return m.select("source_path", "subject", F.md5(F.regexp_replace("text", r"\s+", "")).alias("body"))
+
+
 @query("stream_dedup", sql="SELECT DISTINCT event_type AS root_id, CAST(user_id AS VARCHAR) AS message_id FROM events")
 def stream_dedup(spark, sf):
     place = scratch_path(spark, "stream-dedup")

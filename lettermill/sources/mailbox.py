@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lettermill.functions.text import is_email, normalize_email, text_column, trim_all
+from lettermill.sources.ranged import list_files, read_eml_archives, read_mbox_ranges
 
 _LATIN = "ISO-8859-1"
 
@@ -69,19 +70,10 @@ def unescape_mbox(c: Column | str) -> Column:
 def read_mbox(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file_path, ordinal, raw)``: one row per record, a record starting at a line ``From ``.
 
-    The scan is splittable; ``ordinal`` grows with the place in a file. Text before the
-    first such line is no record.
+    One pass over byte ranges, dealt to tasks; ``ordinal`` is the byte at which a record starts. Text
+    before the first such line is no record.
     """
-    rows = spark.read.option("lineSep", "\nFrom ").text(path)
-    raw = F.col("value").cast("binary")
-    # only the first record of a file keeps its own mark
-    first = F.substring(raw, 1, 5) == F.lit(b"From ")
-    start = F.col("_metadata.file_block_start")
-    by = rows.select(F.col("_metadata.file_path").alias("file_path"), start.alias("__start"), F.monotonically_increasing_id().alias("ordinal"), raw.alias("__raw"), first.alias("__marked"))
-    headed = F.when(F.col("__marked"), F.col("__raw")).otherwise(F.concat(F.lit(b"From "), F.col("__raw")))
-    lead = by.groupBy("file_path").agg(F.min("ordinal").alias("__first"))
-    kept = by.join(lead, "file_path").where("ordinal <> __first or __marked")
-    return kept.select("file_path", "ordinal", unescape_mbox(strip_envelope(headed)).alias("raw"))
+    return read_mbox_ranges(list_files(spark, path, "*"))
 
 
 def read_eml(spark: SparkSession, path: str) -> DataFrame:
@@ -106,31 +98,8 @@ def read_emlx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_eml_zip(spark: SparkSession, path: str) -> DataFrame:
-    """``(file_path, source_path, ordinal, raw)`` of the ``.eml`` entries of archives, one task an archive."""
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-        import zipfile
-
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content.as_py()))
-                except zipfile.BadZipFile:
-                    continue
-                for k, entry in enumerate(archive.infolist()):
-                    name = entry.filename
-                    if entry.is_dir() or not name.lower().endswith(".eml") or name.startswith("__MACOSX/"):
-                        continue
-                    try:
-                        raw = archive.read(entry)
-                    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError):
-                        continue
-                    folder = name.rpartition("/")[0]
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([folder]), pa.array([k], pa.int64()), pa.array([raw], pa.binary())], names=["file_path", "source_path", "ordinal", "raw"])
-
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    return rows.mapInArrow(kernel, "file_path string, source_path string, ordinal long, raw binary")
+    """``(file_path, source_path, ordinal, raw)`` of the ``.eml`` entries of archives of any size, dealt by their ranges."""
+    return read_eml_archives(list_files(spark, path, "*.zip"))
 
 
 MESSAGE_SCHEMA = (

@@ -8,13 +8,12 @@ source ``lettermill-mbox``, for ``spark.read`` and ``spark.readStream``.
 
 from __future__ import annotations
 
-import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from typing import Any
-from urllib.parse import unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -29,28 +28,38 @@ _ROWS, _BYTES = 500, 8 << 20
 
 
 def open_file(path: str) -> pa.NativeFile:
-    """A file by path or URI for reads at any place."""
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem().open_input_file(unquote(re.sub("^file:/+", "/", path)))
-    if "://" not in path:
-        return pafs.LocalFileSystem().open_input_file(path)
-    system, place = pafs.FileSystem.from_uri(path)
+    """A file, by path as Spark's listing of binary files gives it, for reads at any place."""
+    system, place, _ = _placed(path)
     return system.open_input_file(place)
 
 
+def _placed(path: str) -> tuple[pafs.FileSystem, str, str]:
+    """A file system, the place in it, and what goes before places to make paths again."""
+    if path.startswith("file:") or "://" not in path:
+        return pafs.LocalFileSystem(), re.sub("^file:/*", "/", path), ""
+    system, place = pafs.FileSystem.from_uri(quote(path, safe="/:@"))
+    return system, place, path.removesuffix(place)
+
+
 def list_files(spark: SparkSession, folder: str | list[str], pattern: str) -> DataFrame:
     """``(path, length)`` of the files below a folder whose names match a glob pattern; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     return found.load(folder).select("path", "length")
 
 
+def _tasks(files: DataFrame, size: int, most: int = 100_000) -> int:
+    """A task for every ``size`` bytes of files. Rows that name places are small and work is not, so
+    adaptive execution, which joins small partitions, is given a number to keep."""
+    total = files.agg(F.sum("length")).first()[0] or 0
+    return max(1, min(most, -(-total // size)))
+
+
 def ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """``(path, start, stop)``: files cut into ranges of ``split_bytes``, one range a row, dealt evenly. An empty file has none."""
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long")))
     cut = files.where("length > 0").select("path", "length", at.alias("start"))
     stop = F.least(F.col("start") + split_bytes, F.col("length"))
-    # a range is work for a task: rows are dealt by what they are, not by where the listing put them
-    return cut.select("path", "start", stop.alias("stop")).repartition("path", "start")
+    return cut.select("path", "start", stop.alias("stop")).repartition(_tasks(files, split_bytes), "path", "start")
 
 
 # mailboxes
@@ -141,11 +150,7 @@ def _cut(path: str, start: int, stop: int, split_bytes: int) -> list[_Range]:
 
 def _sizes(folder: str, pattern: str) -> dict[str, int]:
     """Bytes by path of a folder's files, or of the one file."""
-    if "://" in folder:
-        system, place = pafs.FileSystem.from_uri(folder)
-        prefix = folder[: len(folder) - len(place)]
-    else:
-        system, place, prefix = pafs.LocalFileSystem(), re.sub("^file:/*", "/", folder), ""
+    system, place, prefix = _placed(folder)
     found = system.get_file_info(place)
     infos = [found] if found.type == pafs.FileType.File else system.get_file_info(pafs.FileSelector(place, recursive=True, allow_not_found=True))
     return {prefix + x.path: x.size for x in infos if x.type == pafs.FileType.File and re.search(pattern, x.base_name)}
@@ -334,7 +339,7 @@ def read_eml_archives(archives: DataFrame, block_bytes: int = 16 << 20) -> DataF
     Folders, resource forks, encrypted and broken entries are left out.
     """
     mails = list_entries(archives).where(F.lower("name").endswith(".eml") & ~F.col("name").startswith("__MACOSX/"))
-    dealt = mails.withColumn("block", (F.col("offset") / block_bytes).cast("long")).repartition("path", "block").sortWithinPartitions("path", "offset")
+    dealt = mails.withColumn("block", (F.col("offset") / block_bytes).cast("long")).repartition(_tasks(archives, block_bytes), "path", "block").sortWithinPartitions("path", "offset")
     schema = pa.schema([("file_path", pa.string()), ("source_path", pa.string()), ("ordinal", pa.int64()), ("raw", pa.binary())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,6 +362,24 @@ def read_eml_archives(archives: DataFrame, block_bytes: int = 16 << 20) -> DataF
     return dealt.mapInArrow(kernel, "file_path string, source_path string, ordinal long, raw binary")
 
 
-def offsets_json(offsets: dict[str, int]) -> str:
-    """A stream's offsets as they stand in its checkpoint."""
-    return json.dumps(offsets, sort_keys=True)
+def write_eml_archives(mails: DataFrame, folder: str) -> None:
+    """Writes ``(name, raw)`` as zip archives in a folder, one a partition; a repeated task replaces its own."""
+    import uuid
+    import zipfile
+
+    run = uuid.uuid4().hex
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        system, place, _ = _placed(f"{folder}/{TaskContext.get().partitionId():05d}-{run}.zip")
+        system.create_dir(place.rpartition("/")[0], recursive=True)
+        n = 0
+        with system.open_output_stream(place) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for batch in batches:
+                for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    archive.writestr(name, raw.as_py())
+                    n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    mails.select("name", "raw").where("raw is not null").mapInArrow(kernel, "n long").agg(F.sum("n")).first()

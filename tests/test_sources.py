@@ -117,6 +117,11 @@ def test_streamed_import_is_exact_and_repeatable(spark, tmp_path):
     first = got.where("provider_message_id = '<1@x>'").first()
     assert (first.sent_at, first.sent_at_kind, first.path, first.tags) == (1704067200000, "sent", "Inbox", ["Inbox", "Work"])
     assert got.where("provider_message_id = '<2@x>'").first().thread_id == "<1@x>"
+    # one content is one attachment, linked to both messages that have it
+    held = spark.read.parquet(f"{tmp_path}/arc_attachments").collect()
+    assert [(r.filename, bytes(r.content), r.size_bytes, r.ingestion_source_id) for r in held] == [("t.csv", b"a,b", 3, "s1")]
+    links = spark.read.parquet(f"{tmp_path}/arc_links").collect()
+    assert {(r.email_id, r.attachment_id) for r in links} == {(r.id, held[0].id) for r in got.where("provider_message_id in ('<2@x>', '<3@x>')").collect()}
 
 
 def rows_of(spark, sdf, name, mode="append"):
