@@ -385,7 +385,7 @@ def test_embedding_links_match_brute_force(spark):
     x = vectors()
     rows = [(k, [float(v) for v in r], 0) for k, r in enumerate(x)] + [(500, [float(v) for v in x[0]], 1), (501, [float(v) for v in x[0]], 1)]
     rows += [(600, None, 0), (601, [0.0] * 16, 0), (602, [float("nan")] * 16, 0), (603, [None] + [1.0] * 15, 0), (None, [1.0] * 16, 0), (604, [], 0)]
-    cfg = embdedup.ProjectionConfig(passes=24, window=40, block=32)
+    cfg = embdedup.ProjectionConfig(windows=(40,), block=64)
     got = {r.vec_id: r for r in embdedup.embedding_near_duplicates(spark.createDataFrame(rows, VECS), cfg).collect()}
     good = {i: np.array(v, np.float64) for i, v, _ in rows if i is not None and i < 600}
     unit = {i: v / np.linalg.norm(v) for i, v in good.items()}
@@ -446,11 +446,11 @@ def test_embedding_pairs_of_a_dense_topic(spark, tmp_path):
     assert recall == 1
 
 
-def test_embedding_buckets_cut_to_the_stated_miss(spark, tmp_path):
+def test_embedding_windows_keep_the_stated_miss(spark, tmp_path):
     x = topic(8000, 300, 0.7)
-    cfg = embdedup.ProjectionConfig(buckets=(256,), row_cost=0, block=128)
-    trees = embdedup.plan(x, len(x), cfg)
-    assert len(trees) >= 16 and len(set(trees[0].bucket(x).tolist())) > 8
+    cfg = embdedup.ProjectionConfig(windows=(64,), row_cost=0, block=128)
+    passes = embdedup.plan(x, len(x), cfg)
+    assert passes.window == 64 and passes.number >= 16
     recall, got = found_of_planted(spark, f"{tmp_path}/v.parquet", x, 300, cfg)
     assert recall >= 0.99
     near = x.astype(np.float32).astype(np.float64)
@@ -458,6 +458,31 @@ def test_embedding_buckets_cut_to_the_stated_miss(spark, tmp_path):
     assert abs(got.n_links.sum() - ((near @ near.T >= 0.95).sum() - len(x))) <= 6
 
 
+def test_embedding_windows_reach_over_borders(spark):
+    x = vectors(600)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "node long, v array<double>").repartition(7)
+    passes = embdedup.Passes(3, 20, x.mean(0).astype(np.float64))
+    rows = embdedup.windowed(df, passes, 30, embdedup.ProjectionConfig()).select("stretch", "place", "pass", "node").collect()
+    order = sorted({(r.place, r["pass"], r.node) for r in rows})
+    assert [r[0] for r in order] == list(range(1800)) and [r[1] for r in order] == sorted(r[1] for r in order)
+    held = collections.defaultdict(set)
+    for r in rows:
+        held[r.stretch].add(r.place)
+    assert all(any({a, b} <= s for s in held.values()) for a in range(1800) for b in (a + 1, a + 20) if b < 1800)
+
+
+def test_depths_of_runs():
+    keys = np.packbits(np.random.default_rng(8).random((300, 128)) < 0.5, axis=1)
+    signs = np.unpackbits(keys, axis=1)
+    for width in (1, 5, 40, 299, 400):
+        got = embdedup._depths(keys, width)
+        for k in range(0, 300, 7):
+            depth = 0
+            while (signs[:, :depth] == signs[k, :depth]).all(1).sum() > width:
+                depth += 1
+            assert got[k] == depth
+
+
 def test_forest_recall_and_order(spark):
     x = vectors(600, 24, 7)
     rows = [(k, [float(v) for v in r], 0) for k, r in enumerate(x)] + [(1000, None, 0), (1100, [0.0] * 24, 0), (1200, [float("inf")] * 24, 0)]
