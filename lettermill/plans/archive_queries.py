@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from lettermill.functions import html as H, text as P
 from lettermill.functions.dates import backfill_sent_at
 from lettermill.operators import aggregates as agg, duplicates as dup, filters as flt, joins as jn, mutations as mut, search as srch
+from lettermill.operators.incremental import ComponentLog, exact_key_edges, exact_roots
 from lettermill.plans import mailview as V, views
 from lettermill.plans.queries import _CLUSTERS_SQL, _GROUPED_SQL, _members, LIVE, query
 from lettermill.schemas import Archive, SEARCH_DOCS
-from lettermill.session import scratch_path
+from lettermill.session import materialize, scratch_path
 from lettermill.sources import mailbox as mb
 from lettermill.sources.ranged import list_files, read_eml_archives, write_eml_archives
 from lettermill.streaming import jobs
@@ -599,6 +600,20 @@ def stream_index(spark, sf):
     return jobs.read_index(spark, f"{place}/index").groupBy("field", "term").agg(F.count("*").alias("emails"))
 
 
+@query("incremental_roots", V.EMAILS_SQL, V.MAIL_LINKS_SQL, V.ATTACHMENTS_SQL, V.SIGNALS_SQL, _CLUSTERS_SQL, sql="SELECT id, root FROM rooted")
+def incremental_roots(spark, sf):
+    """The archive arrives in two parts, trashed mail and all; then what is trashed goes."""
+    mails = V.emails(spark, sf)
+    signals = materialize(dup.duplicate_signals(mails.withColumn("deleted_at", F.lit(None).cast("long")), V.mail_links(spark, sf), V.attachments(spark, sf)), "signals")
+    late = F.col("id").cast("long") % 100 == 0
+    log = ComponentLog(spark, scratch_path(spark, "components"))
+    for part in (signals.where(~late), signals.where(late)):
+        log.add(exact_key_edges(part))
+    gone = mails.where("deleted_at is not null").select("id")
+    log.remove(gone.withColumnRenamed("id", "node"))
+    return exact_roots(log, signals.join(gone, "id", "left_anti")).select("id", "root")
+
+
 @query("duplicate_snapshot", V.EMAILS_SQL, V.MAIL_LINKS_SQL, V.ATTACHMENTS_SQL, V.SIGNALS_SQL, _CLUSTERS_SQL, sql=f"SELECT fingerprint, class, count, keeper FROM ({_GROUPED_SQL})")
 def duplicate_snapshot(spark, sf):
     ledger = spark.createDataFrame([], "fingerprint string, created_at long")
