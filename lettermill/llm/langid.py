@@ -59,7 +59,7 @@ _letters: np.ndarray | None = None
 def _letter_table() -> np.ndarray:
     global _letters
     if _letters is None:
-        _letters = np.array([chr(c).isalpha() for c in range(0x30000)] + [False], bool)
+        _letters = np.array([chr(c).isalpha() for c in range(0x110000)], bool)
     return _letters
 
 
@@ -68,7 +68,7 @@ def counts(text: str | None, width: int) -> np.ndarray | None:
     if not text:
         return None
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = _letter_table()[np.minimum(c, 0x30000)]
+    is_letter = _letter_table()[c]
     if not is_letter.any():
         return None
     c = np.where(is_letter, c, np.uint32(32))

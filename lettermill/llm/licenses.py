@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
 A notice that differs from a template in few words has some run of the template's words
-unchanged. Those runs are looked up among all words of a text, across lines, and each place
-is widened to the template's whole wording, counting words that are missing or replaced.
-What was found, the notice alone, is compressed alone and with the template as a raw
-zstandard dictionary; the reduction is the notice's own, whatever stands around it.
+unchanged. Those runs, looked up among all words of a text and across lines, tell candidate
+blocks. A block is compressed alone and with every template as a raw zstandard dictionary, and
+the templates are ranked by the bytes that they save. The first of them whose whole wording,
+but for few words that are missing or replaced, stands in the block is its license; the
+reduction is that of the notice alone, whatever stands around it.
 """
 
 from __future__ import annotations
@@ -109,9 +110,39 @@ class Scanner:
                     best = (key, (key[0], at - n, end + n2, missing, extra))
         return best and best[1]
 
+    def saved(self, raw: bytes) -> dict[str, int]:
+        """The bytes that each template as a dictionary saves."""
+        size = len(self.plain.compress(raw))
+        return {name: size - len(given.compress(raw)) for name, given in self.given.items()}
+
+    def ranked(self, own: list[str], places: list[tuple]) -> Iterator[tuple]:
+        """``(start, end, license, missing, extra)`` of the winners of every block of overlapping places.
+
+        Of the templates ranked by what they save of the block the first with a place there wins; of
+        equal ones that of fewest changes, then the longest. What doesn't overlap it is a block again.
+        """
+        blocks: list[list[tuple]] = []
+        for place in sorted(places, key=lambda p: p[2:4]):
+            if blocks and place[2] < max(p[3] for p in blocks[-1]):
+                blocks[-1].append(place)
+            else:
+                blocks.append([place])
+        while blocks:
+            block = blocks.pop()
+            a, b = min(p[2] for p in block), max(p[3] for p in block)
+            saved = self.saved(" ".join(own[a:b]).encode("utf-8", "replace"))
+            changed, length, start, end, name, missing, extra = min(block, key=lambda p: (-saved[p[4]], *p))
+            raw = " ".join(own[start:end]).encode("utf-8", "replace")
+            if self.saved(raw)[name] >= self.cfg.reduction * len(self.plain.compress(raw)):
+                yield start, end, name, missing, extra
+                rest = [p for p in block if p[3] <= start or p[2] >= end]
+            else:
+                rest = [p for p in block if p[2:5] != (start, end, name)]
+            if rest:
+                blocks.append(rest)
+
     def scan(self, text: str) -> list[tuple]:
-        """``(line, block, license, plain, conditional, reduction, missing, extra)`` of every notice of a
-        text; where places overlap, that of fewest changes, then of the longest template, is one."""
+        """``(line, block, license, plain, conditional, reduction, missing, extra)`` of every notice of a text."""
         low = text.lower()
         if not any(w in low for w in self.rare):
             return []
@@ -125,15 +156,10 @@ class Scanner:
                     if got:
                         changed, start, end, missing, extra = got
                         found[name, start, end] = (changed, -len(self.words[name]), start, end, name, missing, extra)
-        taken, out = [], []
-        for _, _, start, end, name, missing, extra in sorted(found.values()):
-            if any(start < y and x < end for x, y in taken):
-                continue
+        out = []
+        for start, end, name, missing, extra in self.ranked(own, list(found.values())):
             raw = " ".join(own[start:end]).encode("utf-8", "replace")
             size, with_it = len(self.plain.compress(raw)), len(self.given[name].compress(raw))
-            if 1 - with_it / size < self.cfg.reduction:
-                continue
-            taken.append((start, end))
             first, last = spans[start][0], spans[end - 1][1]
             while first and not text[first - 1].isspace() and (start == 0 or first > spans[start - 1][1]):
                 first -= 1

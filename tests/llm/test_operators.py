@@ -318,6 +318,44 @@ def test_licenses_inside_prose(spark):
     assert scanned(spark, [t.upper() for t in licenses.TEMPLATES.values()]) == [(k, 0, name) for k, name in enumerate(licenses.TEMPLATES)]
 
 
+def test_licenses_are_ranked_by_compression(spark, monkeypatch):
+    text = 'Licensed under the Apache License, Version 2.0 (the "License"); you must not use the file except in compliance with the License.'
+    scanner = licenses.Scanner(licenses.LicenseConfig())
+    # the short notice stands there word for word, but the long one saves more of the block
+    (row,) = scanner.scan(f"before it {text} behind it")
+    assert (row[2], row[6], row[7]) == ("Apache-2.0-notice", ["may", "this"], ["must", "the"])
+    saved = scanner.saved(" ".join(licenses.words(text)).encode())
+    assert set(saved) == set(licenses.TEMPLATES) and max(saved, key=saved.get) == "Apache-2.0-notice"
+    monkeypatch.setattr(licenses.Scanner, "saved", lambda self, raw: dict.fromkeys(licenses.TEMPLATES, len(raw)))
+    assert [r[2] for r in scanner.scan(text)] == ["Apache-2.0"]
+
+
+def test_license_ranking_matches_slow_twin():
+    rng = random.Random(11)
+    cfg = licenses.LicenseConfig()
+    scanner = licenses.Scanner(cfg)
+    for _ in range(60):
+        name = rng.choice(list(licenses.TEMPLATES))
+        own = licenses.words(licenses.TEMPLATES[name])
+        for _ in range(rng.randint(0, int(cfg.changes * len(own)))):
+            own[rng.randrange(len(own))] = rng.choice(("other", "words", "instead"))
+        text = " ".join(["aa", "bb", *own, "cc"])
+        # every template at every place of the text, by word differences alone, then ranked by what it saves
+        places = []
+        for other, want in scanner.words.items():
+            for start in range(len(own) + 3):
+                for end in range(start + 1, len(own) + 4):
+                    got = text.split()[start:end]
+                    if len(got) == len(want) and sum(x != y for x, y in zip(got, want)) <= scanner.limit[other]:
+                        places.append((other, start, end))
+        found = scanner.scan(text)
+        assert bool(found) == bool(places)
+        if places:
+            block = " ".join(text.split()[min(p[1] for p in places) : max(p[2] for p in places)]).encode()
+            best = max(scanner.saved(block)[p[0]] for p in places)
+            assert scanner.saved(block)[found[0][2]] == best
+
+
 def test_licenses_wrapped_many_and_changed(spark):
     t = licenses.TEMPLATES
     wrapped = ["\n".join(f" * {x}" for x in textwrap.wrap(t[k], 34)) for k in t]
@@ -381,6 +419,10 @@ def vectors(n=300, dims=16, seed=2):
     return x.astype(np.float32)
 
 
+def test_letters_of_every_plane_are_letters():
+    assert langid.counts(chr(0x30000) * 50, 4096) is not None and langid.counts("1" + chr(0x10FFFF), 4096) is None
+
+
 def test_embedding_links_match_brute_force(spark):
     x = vectors()
     rows = [(k, [float(v) for v in r], 0) for k, r in enumerate(x)] + [(500, [float(v) for v in x[0]], 1), (501, [float(v) for v in x[0]], 1)]
