@@ -40,6 +40,10 @@ def one(spark, column, *values):
     (H.http_reason, 799, "Remote server returned HTTP 799"),
     (H.sanitize_css, "/*x*/@import 'a';b{background:url(\"http://x/y\")}<", "b{background:url('data:,')}"),
     (H.sanitize_style, "color:red; behavior:url(x) ; width:expression(1)", "color:red; width:"),
+    (H.sanitize_style, "background:url(data:image/png;base64,AA==) red;scroll-behavior:smooth", "background:url('data:,') red; scroll-behavior:smooth"),
+    (H.sanitize_css, "a{width:expression(f(1));-moz-binding:url(x)}", "a{width:;}"),
+    (H.sanitize_css, "a{b:image-set(url(x) 1x), red}\n@media print{c{d:'};{'}}", "a{b:none, red}\n@media print{c{d:'};{'}}"),
+    (H.sanitize_css, "a{b:url( http://x;y )} @IMPORT url(z) print;c{d:javascript:e}", "a{b:url('data:,')}c{d:e}"),
     (H.html_to_text, "<head><title>t</title></head><h1>Hi</h1><p>a <a href='http://x'>b</a><br>c<img src='i' alt='d'></p>&lt;", "HI\n\na b [http://x]\ncd [i]\n\n<"),
     (H.html_to_text, "x <3 y<script>var a='<p>';</script>z", "x <3 yz"),
     (D.iso_ms, 1704067200123, "2024-01-01T00:00:00.123Z"),
