@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lettermill.functions import html as H, text as P
 from lettermill.functions.dates import derive_sent_at, describe_date, iso_ms, parse_filter_timestamp
 from lettermill.functions.tags import apply_tag_changes, normalize_tags
-from lettermill.operators import aggregates as agg, duplicates as dup, filters as flt, joins as jn, mutations as mut, search as srch
+from lettermill.operators import aggregates as agg, duplicates as dup, filters as flt, joins as jn, mutations as mut, ranked, search as srch
 from lettermill.operators.ingest import cap_urls, dedup_attachments, dedup_messages
 from lettermill.plans import mailview as V, views
 from lettermill.schemas import Archive
@@ -457,15 +457,18 @@ def search_clauses(spark, sf):
     return srch.match_clauses(_postings(spark, sf), {"sender": "u1", "recipients": "c3"}, "any")
 
 
-@query(
-    "search_bm25", V.EMAILS_SQL, V.MAIL_LINKS_SQL, V.ATTACHMENTS_SQL, _DOCS_SQL, _POSTINGS_SQL,
-    sql="""SELECT email_id, round(-sum(greatest(ln((n_all - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / avg_length))), 6) AS score FROM (
+_BM25_SQL = """SELECT email_id, -sum(greatest(ln((n_all - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / avg_length))) AS score FROM (
       SELECT email_id, k, f, count(*) OVER (PARTITION BY k) AS n FROM (
         SELECT email_id, k, sum(CASE field WHEN 'subject' THEN 10.0 WHEN 'body' THEN 2.0 WHEN 'sender' THEN 6.0 WHEN 'recipients' THEN 3.0 WHEN 'attachments' THEN 1.0 ELSE 2.0 END) AS f
         FROM postings, (VALUES (0), (1)) AS q(k) WHERE (k = 0 AND term = 'onre') OR (k = 1 AND term LIKE 'er%') GROUP BY ALL)) h
     JOIN (SELECT email_id, count(*) AS length FROM postings GROUP BY 1) l USING (email_id),
     (SELECT count(*) AS n_all, avg(length) AS avg_length FROM (SELECT d.email_id, count(p.term) AS length FROM docs d LEFT JOIN postings p USING (email_id) GROUP BY 1))
-    WHERE email_id IN (SELECT email_id FROM postings WHERE term = 'onre') AND email_id IN (SELECT email_id FROM postings WHERE term LIKE 'er%') GROUP BY 1""",
+    WHERE email_id IN (SELECT email_id FROM postings WHERE term = 'onre') AND email_id IN (SELECT email_id FROM postings WHERE term LIKE 'er%') GROUP BY 1"""
+
+
+@query(
+    "search_bm25", V.EMAILS_SQL, V.MAIL_LINKS_SQL, V.ATTACHMENTS_SQL, _DOCS_SQL, _POSTINGS_SQL,
+    sql=f"SELECT email_id, round(score, 6) AS score FROM ({_BM25_SQL})",
 )
 def search_bm25(spark, sf):
     docs = V.search_docs(spark, sf)
@@ -474,6 +477,22 @@ def search_bm25(spark, sf):
     return scored.select("email_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    "search_top_hits", V.EMAILS_SQL, V.MAIL_LINKS_SQL, V.ATTACHMENTS_SQL, _DOCS_SQL, _POSTINGS_SQL,
+    sql=f"SELECT email_id, round(score, 6) AS score FROM (SELECT * FROM ({_BM25_SQL}) ORDER BY score, email_id LIMIT 10)",
+)
+def search_top_hits(spark, sf):
+    """The page of ten best hits, out of an index of blocks."""
+    index = ranked.write_index(V.search_docs(spark, sf), scratch_path(spark, "index"))
+    return ranked.top_hits(index, "onre er", 10).select("email_id", F.round("score", 6).alias("score"))
+
+
+@query("index_terms", V.EMAILS_SQL, V.MAIL_LINKS_SQL, V.ATTACHMENTS_SQL, _DOCS_SQL, _POSTINGS_SQL, sql="SELECT term, count(DISTINCT email_id) AS df FROM postings GROUP BY 1")
+def index_terms(spark, sf):
+    """The index's dictionary: every term and in how many documents it occurs."""
+    return ranked.write_index(V.search_docs(spark, sf), scratch_path(spark, "index")).terms.select("term", "df")
+
+
 @query("body_snippets")
 def body_snippets(spark, sf):
     d = V.table(spark, sf, "documents")
