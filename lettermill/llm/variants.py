@@ -175,13 +175,17 @@ def _moved(states: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The states after one more edge: of those without an edit over every edge, of the others over their own."""
     pos, own, after = F.col("pos"), F.substr("word", F.col("pos") + 1, F.lit(1)), F.substr("word", F.col("pos") + 2, F.lit(1))
     to = pos + F.col("size")
-    fresh = join_hot(states.where("edits = 0").select("word", "pos", "node"), nodes, "node")
+    fresh = states.where("edits = 0").select("word", "pos", "node").join(nodes, "node")
     fresh = fresh.select("word", "pos", F.inline("edges")).where((F.col("first") >= own) | (F.col("first") == after))
     replaced = (F.col("first") > own) & (F.substr("word", pos + 2, F.col("size") - 1) == F.substr("label", F.lit(2))) & _live(to)
     ahead = F.when(F.col("first") == own, F.when(_reads(pos), _state(to, 0))).when(replaced, _state(to, 1))
     deleted = F.when((F.col("first") == after) & (own != after) & _reads(pos + 1) & _live(to + 1), _state(to + 1, 1))
     fresh = fresh.select("word", F.explode(F.array(ahead, deleted)).alias("s")).where("s is not null").select("word", "s.*")
-    spent = join_hot(states.where("edits = 1").select("word", "pos", "node", own.alias("first")), edges, ["node", "first"])
+    # one number names a node's edge, so a row is narrow; an edge is one row, so each task's share of edges is small and
+    # is looked up in memory: the many states of a few upper nodes need no sort
+    hop = F.xxhash64("node", "first").alias("hop")
+    one = edges.select(hop, "label", "size", "child", "next", "ends").hint("shuffle_hash")
+    spent = states.where("edits = 1").select("word", "pos", "node", own.alias("first")).select("word", "pos", hop).join(one, "hop")
     spent = spent.where(_reads(pos) & _live(to)).select("word", _state(to, 1).alias("s")).select("word", "s.*")
     return fresh.unionByName(spent)
 
