@@ -1,15 +1,17 @@
-"""Spelling variants by a frontier that walks a relational trie.
-
-The distinct words form a trie that is two tables: a row a branching node with its outgoing
-edges, and the words that end at nodes. Chains without branches are one edge with a longer
-label, so the walk takes as many levels as some word has branching prefixes, however long
-words are. A state ``(word, position, node, edits)`` starts at the root; each level joins
-states that may still spend their edit with all edges of their nodes, and the others with the
-one edge that goes on with their next letter; labels and the letters after them drop most of
-them at once. Two words part at the first letter in which they differ, so a state spends its one edit
-where it leaves its own path: there an edge replaces the letter, or the letter is deleted.
+"""Spelling variants by a frontier that walks relational tries.
+
+Two words one letter apart share their first half or their last, so each word is read twice, from
+the front and from the back, and both walks start behind the half that carries no edit. Words of
+one length and direction form tries, one under every half, that are two tables: a row a branching
+node with its outgoing edges, and the words that end at nodes. Chains without branches are one
+edge with a longer label, so the walk takes as many levels as some half has branching prefixes.
+A state ``(word, position, node, edits)`` starts in the trie of its own length, to replace a
+letter, and in that of the next shorter words, to lose one; each level joins states that may still
+spend their edit with all edges of their nodes, and the others with the one edge that goes on with
+their next letter; labels and the letters after them drop most of them at once. Two words part at
+the first letter in which they differ, so a state spends its one edit where it leaves its own path.
 Of two near words only one finds the other: the longer, or that of the smaller letter. States
-that have read their word with one edit and stand where a word ends are neighbours.
+that have read their word with one edit are where words end: neighbours.
 """
 
 from __future__ import annotations
@@ -27,9 +29,6 @@ from lettermill.llm.blocks import give_back
 from lettermill.operators.components import join_hot
 from lettermill.session import materialize
 
-_K = 0x9E3779B97F4A7C15
-_ROOT = 0x1234567
-
 
 @dataclass(frozen=True)
 class VariantConfig:
@@ -82,78 +81,51 @@ def count_words(docs: DataFrame, cfg: VariantConfig, id_col: str = "doc_id", tex
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= cfg.least_count)
 
 
-def _nodes(word: str) -> list[int]:
-    """Names of a word's prefixes, the empty one first: 64 bits that follow from the letters."""
-    h, out = _ROOT, [_ROOT]
-    for x in word:
-        h = ((h ^ ord(x)) * _K) & (2**64 - 1)
-        h ^= h >> 29
-        out.append(h - 2**64 if h >= 2**63 else h)
-    return out
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(node, next)``: every prefix and the letter after it, -1 at the end."""
-    for batch in batches:
-        for first in range(0, batch.num_rows, 1000):
-            nodes, following = [], []
-            for word in batch.column(0).slice(first, 1000).to_pylist():
-                nodes += _nodes(word)
-                following += [*map(ord, word), -1]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(following, pa.int32())], names=["node", "next"])
-
-
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(node, label, child)``: a word's path between its branching prefixes ``cuts``."""
-    for batch in batches:
-        rows: list[tuple[int, str, int]] = []
-        for word, cuts in zip(batch.column("word").to_pylist(), batch.column("cuts").to_pylist()):
-            nodes, cuts = _nodes(word), sorted({0, len(word), *cuts})
-            rows += [(nodes[a], word[a:b], nodes[b]) for a, b in zip(cuts, cuts[1:])]
-        rows = list(dict.fromkeys(rows))
-        columns = list(zip(*rows)) if rows else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64()))], names=["node", "label", "child"])
-
-
-def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(id, at, node)``: the places of every prefix but the empty one."""
-    for batch in batches:
-        for first in range(0, batch.num_rows, 1000):
-            part = batch.slice(first, 1000)
-            ids, at, nodes = [], [], []
-            for k, word in zip(part.column("id").to_pylist(), part.column("word").to_pylist()):
-                ids += [k] * len(word)
-                at += range(1, len(word) + 1)
-                nodes += _nodes(word)[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(nodes, pa.int64())], names=["id", "at", "node"])
-
-
-def build_trie(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The edges, the same as one row a branching node, and ``(word, node)`` where words end.
-
-    An edge is ``(node, first, label, size, child, next, ends)``: its label and the label's first letter and
-    length, the first letters of the child's edges, and whether a word ends at the child. A node has one a
-    letter at most, so no row of nodes is larger than the alphabet.
+def _name(read: Column, size: Column, back: Column, at: Column) -> Column:
+    """The node after ``at`` letters, in the trie of words of ``size`` letters read from the front or the back."""
+    return F.xxhash64(back, size, F.substr(read, F.lit(1), at))
+
+
+def _readings(words: DataFrame) -> DataFrame:
+    """Each word ``(id, word)`` read from the front and, backwards, from the back."""
+    both = F.array(F.struct(F.lit(False).alias("back"), F.col("word").alias("read")), F.struct(F.lit(True).alias("back"), F.reverse("word").alias("read")))
+    read = words.select("id", F.length("word").alias("size"), F.inline(both))
+    return read.select("id", "back", "read", "size", F.floor(F.col("size") / 2).cast("int").alias("half"))
+
+
+def build_trie(readings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The edges, the same as one row a branching node, and ``(node, back, read)`` where words end.
+
+    An edge is ``(node, first, label, size, child, next)``: its label and the label's first letter and
+    length, and the first letters of the child's edges, none where words end. A node has one edge a
+    letter, so no row of nodes is larger than the alphabet.
     """
-    branching = words.select("word").mapInArrow(_prefixes, "node long, next int").groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b")).where("a <> b").select("node")
-    located = words.select("id", "word").mapInArrow(_located, "id long, at int, node long")
-    cuts = join_hot(located, branching, "node").groupBy("id").agg(F.collect_list("at").alias("cuts"))
-    cut = words.join(cuts, "id", "left").select("word", F.coalesce("cuts", F.expr("cast(array() as array<int>)")).alias("cuts"))
-    edges = materialize(cut.mapInArrow(_edges, "node long, label string, child long").distinct(), "trie-edge")
-    last = materialize(words.select("word").mapInArrow(_last, "word string, node long"), "trie-end")
-    following = edges.groupBy("node").agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("next"))
-    seen = join_hot(edges, following.withColumnRenamed("node", "child"), "child", "left")
-    seen = join_hot(seen, last.select(F.col("node").alias("child"), F.lit(True).alias("ends")).distinct(), "child", "left")
-    edge = [F.substring("label", 1, 1).alias("first"), "label", F.length("label").alias("size"), "child", F.coalesce("next", F.lit("")).alias("next"), F.coalesce("ends", F.lit(False)).alias("ends")]
-    table = materialize(seen.select("node", *edge), "trie")
+    name = _name(F.col("read"), F.col("size"), F.col("back"), F.col("at"))
+    places = readings.select("*", F.explode(F.sequence("half", F.col("size") - 1)).alias("at"))
+    located = places.select("id", "back", "at", name.alias("node"), F.ascii(F.substr("read", F.col("at") + 1, F.lit(1))).alias("next"))
+    branching = located.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b")).where("a <> b").select("node")
+    cuts = join_hot(located.select("id", "back", "at", "node"), branching, "node").groupBy("id", "back").agg(F.collect_set("at").alias("cuts"))
+    stops = F.sort_array(F.array_union(F.array("half", "size"), F.coalesce("cuts", F.expr("cast(array() as array<int>)"))))
+    cut = readings.join(cuts, ["id", "back"], "left").select("back", "read", "size", stops.alias("stops"))
+    step = cut.select("*", F.posexplode(F.slice("stops", 1, F.size("stops") - 1)).alias("k", "at")).withColumn("to", F.get("stops", F.col("k") + 1))
+    child = _name(F.col("read"), F.col("size"), F.col("back"), F.col("to"))
+    edges = step.select(name.alias("node"), F.substr("read", F.col("at") + 1, F.col("to") - F.col("at")).alias("label"), child.alias("child"))
+    edges = materialize(edges.distinct(), "trie-edge")
+    following = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("next"))
+    seen = join_hot(edges, following, "child", "left")
+    table = materialize(seen.select("node", F.substring("label", 1, 1).alias("first"), "label", F.length("label").alias("size"), "child", F.coalesce("next", F.lit("")).alias("next")), "trie")
     nodes = table.groupBy("node").agg(F.collect_list(F.struct(*[c for c in table.columns if c != "node"])).alias("edges"))
+    last = readings.select(_name(F.col("read"), F.col("size"), F.col("back"), F.col("size")).alias("node"), "back", F.col("read").alias("near"))
     return table, materialize(nodes, "trie-node"), last
 
 
-def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = batch.column(0).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_nodes(w)[-1] for w in words], pa.int64())], names=["word", "node"])
+def start(readings: DataFrame) -> DataFrame:
+    """The first states ``(word, pos, node, edits, lack)``: each reading at the half it shares with what it
+    seeks, once in the trie of its own length and once, lacking a letter, in that of the next shorter words."""
+    ways = readings.select("back", F.col("read").alias("word"), "size", F.explode(F.array(F.lit(0), F.lit(1))).alias("lack"))
+    size = F.col("size") - F.col("lack")
+    half = F.floor(size / 2).cast("int")
+    return ways.select("word", half.alias("pos"), _name(F.col("word"), size, F.col("back"), half).alias("node"), F.lit(0).alias("edits"), "lack")
 
 
 def _reads(at: Column) -> Column:
@@ -162,57 +134,62 @@ def _reads(at: Column) -> Column:
 
 
 def _live(to: Column) -> Column:
-    """Something of the word is left that the edge's child goes on with, or nothing is and a word ends there."""
+    """Something of the word is left that the edge's child goes on with, or nothing is and words end there."""
     left = (to < F.length("word")) & F.contains("next", F.substr("word", to + 1, F.lit(1)))
-    return left | ((to == F.length("word")) & F.col("ends"))
+    return left | ((to == F.length("word")) & (F.col("next") == ""))
 
 
 def _state(to: Column, edits: int) -> Column:
-    return F.struct(to.cast("int").alias("pos"), F.col("child").alias("node"), F.lit(edits).alias("edits"))
+    return F.struct(to.cast("int").alias("pos"), F.col("child").alias("node"), F.lit(edits).alias("edits"), "lack")
 
 
 def _moved(states: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The states after one more edge: of those without an edit over every edge, of the others over their own."""
     pos, own, after = F.col("pos"), F.substr("word", F.col("pos") + 1, F.lit(1)), F.substr("word", F.col("pos") + 2, F.lit(1))
-    to = pos + F.col("size")
-    fresh = states.where("edits = 0").select("word", "pos", "node").join(nodes, "node")
-    fresh = fresh.select("word", "pos", F.inline("edges")).where((F.col("first") >= own) | (F.col("first") == after))
-    replaced = (F.col("first") > own) & (F.substr("word", pos + 2, F.col("size") - 1) == F.substr("label", F.lit(2))) & _live(to)
-    ahead = F.when(F.col("first") == own, F.when(_reads(pos), _state(to, 0))).when(replaced, _state(to, 1))
-    deleted = F.when((F.col("first") == after) & (own != after) & _reads(pos + 1) & _live(to + 1), _state(to + 1, 1))
-    fresh = fresh.select("word", F.explode(F.array(ahead, deleted)).alias("s")).where("s is not null").select("word", "s.*")
+    to, same = pos + F.col("size"), F.col("lack") == 0
+    fresh = states.where("edits = 0").select("word", "pos", "lack", "node").join(nodes, "node")
+    fresh = fresh.select("word", "pos", "lack", F.inline("edges")).where((F.col("first") == own) | F.when(same, F.col("first") > own).otherwise(F.col("first") == after))
+    # where nothing is lacking, the end of the own path is the word itself
+    ahead = F.when(_reads(pos) & ((F.col("next") != "") | ~same), _state(to, 0))
+    replaced = F.when((F.col("first") > own) & (F.substr("word", pos + 2, F.col("size") - 1) == F.substr("label", F.lit(2))) & _live(to), _state(to, 1))
+    # the word is not in the trie of shorter ones, so they may part inside a label: one letter too many there
+    longer = F.substr("word", pos + 1, F.col("size") + 1)
+    deleted = F.when(~_reads(pos) & (F.length(longer) > F.col("size")) & (F.levenshtein(longer, F.col("label"), 1) == 1) & _live(to + 1), _state(to + 1, 1))
+    fresh = fresh.select("word", F.coalesce(ahead, F.when(same, replaced).otherwise(deleted)).alias("s")).where("s is not null").select("word", "s.*")
     # one number names a node's edge, so a row is narrow; an edge is one row, so each task's share of edges is small and
     # is looked up in memory: the many states of a few upper nodes need no sort
     hop = F.xxhash64("node", "first").alias("hop")
-    one = edges.select(hop, "label", "size", "child", "next", "ends").hint("shuffle_hash")
-    spent = states.where("edits = 1").select("word", "pos", "node", own.alias("first")).select("word", "pos", hop).join(one, "hop")
+    one = edges.select(hop, "label", "size", "child", "next").hint("shuffle_hash")
+    spent = states.where("edits = 1").select("word", "pos", "lack", "node", own.alias("first")).select("word", "pos", "lack", hop).join(one, "hop")
     spent = spent.where(_reads(pos) & _live(to)).select("word", _state(to, 1).alias("s")).select("word", "s.*")
     return fresh.unionByName(spent)
 
 
 def near_words(words: DataFrame, max_levels: int = 100_000) -> DataFrame:
     """``(word, near)``, both ways round, of all words ``(id, word)`` one inserted, deleted or replaced letter apart."""
-    edges, nodes, last = build_trie(words)
-    states = materialize(words.select("word", F.lit(0).alias("pos"), F.lit(_ROOT).cast("long").alias("node"), F.lit(0).alias("edits")), "variants-start")
-    done = []
+    readings = _readings(words)
+    edges, nodes, last = build_trie(readings)
+    states, done = start(readings), []
     for _ in range(max_levels):
         seen = Observation()
         level = materialize(_moved(states, edges, nodes).observe(seen, F.count("*").alias("n")), "variants-level")
         if not seen.get["n"]:
             break
         done.append(level)
-        states = level.where("pos < length(word)")
+        states = level.where("pos < length(word) - if(edits = 0, lack, 0)")
     else:
         raise RuntimeError(f"words not read after {max_levels} levels")
     if not done:
         return words.select("word", F.col("word").alias("near")).limit(0)
-    ended = "(edits = 1 and pos = length(word)) or (edits = 0 and pos = length(word) - 1)"
+    ended = "pos = length(word) - if(edits = 0, lack, 0)"
     stopped = done[0].where(ended)
     for level in done[1:]:
         stopped = stopped.unionByName(level.where(ended))
-    found = stopped.select("word", "node").distinct().join(last.select("node", F.col("word").alias("near")), "node")
+    found = stopped.select("word", "node").distinct().join(last, "node")
     # names of nodes are hashes: what they found is confirmed on the words
-    found = materialize(found.where(F.levenshtein("word", "near") == 1).select("word", "near").distinct(), "variants-near")
+    found = found.where(F.levenshtein("word", "near") == 1)
+    front = [F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c)).alias(c) for c in ("word", "near")]
+    found = materialize(found.select(*front).distinct(), "variants-near")
     return found.unionByName(found.select(F.col("near").alias("word"), F.col("word").alias("near")))
 
 
