@@ -53,6 +53,12 @@ def _multipliers(cfg: MinHashConfig) -> tuple[np.ndarray, np.ndarray]:
     return a[:, None], rng.integers(0, 2**63, cfg.coordinates, dtype=np.uint64)[:, None]
 
 
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """The class of a set: 128 bits of its shingles."""
+    digest = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (digest & (2**64 - 1)) - 2**63, (digest >> 64) - 2**63
+
+
 def signatures(docs: DataFrame, cfg: MinHashConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, set_a, set_b, coords)``; the set hashes are null for an empty set."""
     a, b = _multipliers(cfg)
@@ -64,9 +70,9 @@ def signatures(docs: DataFrame, cfg: MinHashConfig, id_col: str = "doc_id", text
                 s = shingles(text.as_py(), cfg.words)
                 n.append(len(s))
                 if len(s):
-                    digest = xxhash.xxh3_128_intdigest(s.tobytes())
-                    low.append((digest & (2**64 - 1)) - 2**63)
-                    high.append((digest >> 64) - 2**63)
+                    a64, b64 = _digest(s)
+                    low.append(a64)
+                    high.append(b64)
                     if len(s) < 4096:
                         least = ((s ^ b) * a).min(1)
                     else:
@@ -169,21 +175,25 @@ def _confirming(batches: Iterator[pa.RecordBatch], cfg: MinHashConfig) -> Iterat
     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _with_sets(docs: DataFrame, cfg: MinHashConfig) -> DataFrame:
+def _with_sets(texts: DataFrame, cfg: MinHashConfig) -> DataFrame:
+    """``(rep, set_a, set_b, shingles)`` of rows ``(rep, text)``: one a class, however many rows of an id are of it."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = 100
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                sets = [shingles(t.as_py(), cfg.words).tobytes() for t in part.column("text")]
+                sets = [shingles(t.as_py(), cfg.words) for t in part.column("text")]
+                low, high = zip(*map(_digest, sets))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("cluster"), part.column("n"), part.column("rep"), pa.array(sets, pa.binary())],
-                    names=["cluster", "n", "rep", "shingles"],
+                    [part.column("rep"), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["rep", "set_a", "set_b", "shingles"],
                 )
         forget_words()
         give_back()
 
-    return docs.select("cluster", "n", "rep", "text").mapInArrow(kernel, "cluster long, n long, rep long, shingles binary")
+    found = texts.select("rep", "text").mapInArrow(kernel, "rep long, set_a long, set_b long, shingles binary")
+    return found.groupBy("rep", "set_a", "set_b").agg(F.first("shingles").alias("shingles"))
 
 
 def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,17 +214,22 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_co
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     members = materialize(join_hot(full.drop("coords"), classes, ["set_a", "set_b"]).select("doc_id", "rep"), "minhash-member")
     reps = join_hot(full, classes, ["set_a", "set_b"]).where("doc_id = rep")
-    reps = materialize(reps.select("rep", "set_a", "set_b", "coords").dropDuplicates(["rep", "set_a", "set_b"]), "minhash-rep")
-    postings = prefix_postings(reps, cfg).join(reps.select("rep", "coords"), "rep")
+    # an id may stand for many classes, so classes have numbers of their own until links are confirmed
+    reps = reps.select("rep", "set_a", "set_b", "coords").dropDuplicates(["rep", "set_a", "set_b"])
+    reps = materialize(reps.withColumn("class", F.monotonically_increasing_id()), "minhash-rep")
+    classes = reps.select(F.col("class").alias("rep"), "coords")
+    postings = prefix_postings(classes, cfg).join(classes, "rep")
     met = block_pairs(postings, ["j", "v"], "n", "rep", cfg.list_block)
     met = met.repartition("v", "j", "ba", "bb").sortWithinPartitions("v", "j", "ba", "bb")
     found = met.select("v", "j", "ba", "bb", "rep", "coords").mapInArrow(lambda it: _matching(it, cfg), "u long, v long")
-    clusters = connected_components(found).withColumnsRenamed({"node": "rep", "component": "cluster"})
+    clusters = connected_components(found).withColumnsRenamed({"node": "class", "component": "cluster"})
+    clusters = reps.select("class", "rep", "set_a", "set_b").join(clusters, "class").drop("class")
     sized = join_hot(clusters, clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
     wanted = materialize(sized, "minhash-cluster")
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    sets = block_pairs(_with_sets(texts.join(wanted, "rep"), cfg), ["cluster"], "n", "rep", cfg.cluster_block)
+    sets = _with_sets(texts.join(wanted.select("rep").distinct(), "rep", "left_semi"), cfg).join(wanted, ["rep", "set_a", "set_b"])
+    sets = block_pairs(sets, ["cluster"], "n", "set_a", cfg.cluster_block)
     sets = sets.repartition("cluster", "ba", "bb").sortWithinPartitions("cluster", "ba", "bb")
     links = sets.select("cluster", "ba", "bb", "rep", "shingles").mapInArrow(lambda it: _confirming(it, cfg), "u long, v long")
     # an id that stands for rows of several texts ties their classes together

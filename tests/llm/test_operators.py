@@ -98,6 +98,39 @@ def test_minhash_large_groups_and_blocks(spark):
     assert got == linked_components(rows, 4)
 
 
+def test_minhash_many_texts_and_rows_of_one_id(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+
+    def near():
+        words = list(base)
+        words[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    def alone():
+        return " ".join(f"a{rng.randrange(10**6)}" for _ in range(30))
+
+    other = alone()
+    rows = [(7, " ".join(base))] * 400 + [(7, near()) for _ in range(60)] + [(7, alone()) for _ in range(60)]
+    rows += [(8, near()), (9, rows[-1][1]), (10, other), (11, other), (12, alone())]
+    widest = []
+    inner = minhash.block_pairs
+
+    def watched(df, group, size, member, block):
+        out = inner(df, group, size, member, block)
+        if group == ["cluster"]:
+            widest.append(out.groupBy("cluster", "ba", "bb").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(minhash, "block_pairs", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = minhash.near_duplicates(df, minhash.MinHashConfig(words=4, list_block=16, cluster_block=16)).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(7, 7), (8, 7), (9, 7), (10, 10), (11, 10), (12, 12)}
+    # rows of one id are no reason for larger blocks: two blocks of about 16 classes
+    assert widest and widest[0] <= 4 * 16
+
+
 def test_minhash_awkward_rows(spark, odd, none):
     got = minhash.near_duplicates(odd, minhash.MinHashConfig(words=4)).collect()
     assert len(got) == 14
