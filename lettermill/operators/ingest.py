@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lettermill.operators.components import join_hot
 from lettermill.operators.joins import merge_groups
 
 
@@ -19,9 +20,11 @@ def dedup_messages(incoming: DataFrame, archive: DataFrame, sources: DataFrame)
     known = rooted(archive).groupBy("root_id", F.col("provider_message_id").alias("message_key")).agg(F.min("id").alias("known_id"))
     good = incoming.where("message_key is not null")
     first = rooted(good).groupBy("root_id", "message_key").agg(F.min_by("id", F.struct("input_path", "ordinal", "id")).alias("first_id"))
-    rows = rooted(good).join(first, ["root_id", "message_key"]).join(known, ["root_id", "message_key"], "left")
-    survivor = F.coalesce("known_id", "first_id")
-    done = rows.select(*incoming.columns, survivor.alias("survivor_id"), F.when(F.col("id") == survivor, "archived").otherwise("duplicate").alias("status"))
+    # both are one row a key; only the last join meets a key as often as mail repeats it
+    survivors = first.join(known, ["root_id", "message_key"], "left").select("root_id", "message_key", F.coalesce("known_id", "first_id").alias("survivor_id"))
+    rows = join_hot(rooted(good), survivors, ["root_id", "message_key"])
+    status = F.when(F.col("id") == F.col("survivor_id"), "archived").otherwise("duplicate").alias("status")
+    done = rows.select(*incoming.columns, "survivor_id", status)
     failed = incoming.where("message_key is null").select(*incoming.columns, F.lit(None).cast("string").alias("survivor_id"), F.lit("failed").alias("status"))
     return done.unionByName(failed)
 
@@ -32,7 +35,7 @@ def dedup_attachments(parts: DataFrame) -> DataFrame:
     key = ["root_id", "content_hash_sha256"]
     first = parts.groupBy(*key).agg(F.min_by(F.struct("filename", "mime_type", "size_bytes"), F.struct("ordinal", "email_id")).alias("w"))
     made = F.sha2(F.concat_ws("|", *key), 256).alias("attachment_id")
-    return parts.select("email_id", *key, "ordinal").join(first, key).select("email_id", *key, made, "ordinal", "w.filename", "w.mime_type", "w.size_bytes")
+    return join_hot(parts.select("email_id", *key, "ordinal"), first, key).select("email_id", *key, made, "ordinal", "w.filename", "w.mime_type", "w.size_bytes")
 
 
 def cap_urls(df: DataFrame, n: int = 50, key: str = "email_id") -> DataFrame:
