@@ -65,6 +65,28 @@ def test_names_stay_unique(spark):
     assert got == {(1, 0): "a.pdf", (1, 1): "a-2.pdf", (1, 2): "a-3.pdf", (1, 3): "x", (1, 4): "x-2", (2, 0): "a.pdf"}
 
 
+def test_unique_names_of_large_groups_and_of_names_that_meet(spark):
+    import random
+
+    rng = random.Random(3)
+    pool = ["a.pdf", "a-2.pdf", "a-3.pdf", "a-2-2.pdf", "a-02.pdf", "a-1.pdf", "x", "x-2", "x-2-2", "x-3", ".b", "-2.b", "a.", "a-2.", "a.b-2", "a-2.b-2", "a-2.b"]
+    rows = [(g, k, rng.choice(pool)) for g in range(12) for k in range(60)] + [(None, k, n) for k, n in enumerate(("x-2", "x", "x", "x"))]
+    want, used = {}, {}
+    for g, k, name in rows:
+        stem, dot, ext = name.rpartition(".")
+        n, made = 1, name
+        while made in used.setdefault(g, set()):
+            n += 1
+            made = f"{stem}-{n}.{ext}" if dot else f"{name}-{n}"
+        used[g].add(made)
+        want[g, k] = made
+    got = P.unique_names(spark.createDataFrame(rows, "g int, o int, n string"), "g", "n", "o").collect()
+    assert {(r.g, r.o): r.unique_name for r in got} == want
+    large = spark.range(100_000).selectExpr("1 as g", "id as o", "'a.pdf' as n")  # a fold over this group took hours
+    last = P.unique_names(large, "g", "n", "o").agg(F.count_distinct("unique_name").alias("n"), F.max_by("unique_name", "o").alias("last")).first()
+    assert tuple(last) == (100_000, "a-100000.pdf")
+
+
 @pytest.mark.parametrize("raw, want", [("Ann <a@x>", ("Ann", "a@x")), ('"B, C" <b@x>', ("B, C", "b@x")), ("<c@x>", ("c@x", "c@x")), ("d@x", ("d@x", "d@x")), ("nobody", None), ("", None)])
 def test_display_address(spark, raw, want):
     got = one(spark, P.parse_display_address("c0"), raw)
