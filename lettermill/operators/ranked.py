@@ -12,12 +12,14 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lettermill.operators.search import FIELDS, WEIGHTS, build_postings, doc_lengths, parse_query, phrase_hits, resolve_fields
+from lettermill.operators import postings as kernels
+from lettermill.operators.search import FIELDS, WEIGHTS, parse_query, phrase_hits, resolve_fields, token_number, token_text
 from lettermill.session import materialize
 
-_ROWS = 1 << 33  # a partition's share of monotonically increasing numbers
+_BLOCKS = "term string, part long, df long, impact double, hits array<struct<email_id:string,length:int,in:array<struct<field:string,tf:bigint>>>>, places array<array<array<int>>>"
 
 
 @dataclass(frozen=True)
@@ -43,26 +45,17 @@ def _weight() -> Column:
 def write_index(docs: DataFrame, path: str, per_part: int = 1024) -> Index:
     """Write the index of search documents below ``path``; a part has ``per_part`` documents at most.
 
-    Parts follow from a table that is written once, so a task that runs again finds the same ones. Blocks are
-    dealt by term and part: a term in all documents is as many rows as there are parts. Documents of equal id are one.
+    Documents are dealt by length, and a task makes the blocks of its parts where the documents are; those are dealt
+    by term and part: a term in all documents is as many rows as there are parts. Documents of equal id are one.
     """
     spark = docs.sparkSession
-    sized = docs.join(doc_lengths(docs).groupBy("email_id").agg(F.max("length").alias("length")), "email_id")
-    laid = sized.repartitionByRange("length", "email_id").sortWithinPartitions("length", "email_id").withColumn("__n", F.monotonically_increasing_id())
-    part = F.expr(f"__n - __n % {_ROWS} + (__n % {_ROWS}) div {per_part}")
-    laid = materialize(laid.withColumn("part", part).drop("__n"), "index-part")
-    known = laid.agg(F.count("*").alias("n"), F.avg("length").alias("length")).first()
+    held = materialize(docs.select("email_id", *[token_text(f).alias(f) for f in FIELDS]), "index-doc")
+    lengths = held.groupBy("email_id").agg(F.max(reduce(lambda a, b: a + b, [token_number(f) for f in FIELDS])).alias("length"))
+    known = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("length")).first()
     average = float(known["length"] or 1.0) or 1.0
-    where = laid.select("email_id", "part", "length")
-    rows = build_postings(laid.select("email_id", *FIELDS)).join(where, "email_id").repartition("term", "part")
-    one = rows.groupBy("term", "part", "email_id").agg(
-        F.sum(F.col("tf") * _weight()).alias("f"), F.first("length").alias("length"), F.array_sort(F.collect_list(F.struct("field", "tf", "positions"))).alias("in")
-    )
-    hit = F.struct("email_id", "length", F.transform("in", lambda x: F.struct(x["field"].alias("field"), x["tf"].alias("tf"))).alias("in"))
-    kept = one.select("term", "part", _share(F.col("f"), F.col("length"), average).alias("impact"), F.struct(hit.alias("hit"), F.transform("in", lambda x: x["positions"]).alias("places")).alias("row"))
-    blocks = kept.groupBy("term", "part").agg(F.count("*").alias("df"), F.max("impact").alias("impact"), F.collect_list("row").alias("rows"))
-    # places apart from hits: what only counts documents does not read them
-    blocks = blocks.select("term", "part", "df", "impact", F.col("rows.hit").alias("hits"), F.col("rows.places").alias("places"))
+    laid = held.join(lengths, "email_id").repartitionByRange("length", "email_id").sortWithinPartitions("length", "email_id").select("email_id", "length", *FIELDS)
+    made = laid.mapInArrow(lambda batches: kernels.blocks(batches, FIELDS, WEIGHTS, average, per_part, TaskContext.get().partitionId()), _BLOCKS)
+    blocks = materialize(made, "index-made")  # ranges are found by a pass of their own
     blocks.repartitionByRange("term", "part").sortWithinPartitions("term", "part").write.parquet(f"{path}/blocks")
     stored = spark.read.schema(blocks.schema).parquet(f"{path}/blocks")
     stored.groupBy("term").agg(F.sum("df").alias("df"), F.count("*").alias("blocks")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")

@@ -53,3 +53,25 @@ def test_dictionary_and_skipped_blocks(made):
 def test_empty_index_and_queries(spark, made, tmp_path):
     index = ranked.write_index(made[0].limit(0), str(tmp_path))
     assert ranked.top_hits(index, "lota").collect() == [] and ranked.top_hits(made[1], ' "" --').collect() == []
+
+
+def test_postings_are_those_of_exploded_tokens_and_equal_ids_are_one(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(f"{k % 250:03}", "É one", f"a b a {'x ' * (k % 40)}" if k % 3 else "", None, "", "--", f"m{k}") for k in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    whole = None
+    for f in srch.FIELDS:
+        part = docs.select("email_id", F.lit(f).alias("field"), F.posexplode(srch.tokenize(f)).alias("pos", "term"))
+        whole = part if whole is None else whole.unionByName(part)
+    want = whole.groupBy("term", "email_id", "field").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    made = srch.build_postings(docs)
+    key = lambda df: sorted((r.term, r.email_id, r.field, r.tf, tuple(r.positions)) for r in df.collect())
+    assert key(made) == key(want)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan  # no row a token
+    index = ranked.write_index(docs, str(tmp_path), per_part=7)
+    assert index.total == 250
+    assert {r.term: r.df for r in index.terms.collect()} == {r.term: r["n"] for r in want.groupBy("term").agg(F.count_distinct("email_id").alias("n")).collect()}
+    lists = ranked._postings(index.blocks).select("term", "email_id", "field", "tf", "positions")
+    assert key(lists) == key(want)
