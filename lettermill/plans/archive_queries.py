@@ -574,8 +574,7 @@ def mail_archives(spark, sf):
     mails = d.select(F.concat(F.lit("in/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".eml")).alias("name"), raw.cast("binary").alias("raw"))
     folder = scratch_path(spark, "eml-zip")
     write_eml_archives(mails, folder)
-    found = read_eml_archives(list_files(spark, folder, "*.zip"))
-    m = mb.parse_messages(found).join(found.select("file_path", "ordinal", "source_path"), ["file_path", "ordinal"])
+    m = mb.parse_messages(read_eml_archives(list_files(spark, folder, "*.zip")), ("source_path",))
     return m.select("source_path", "subject", F.md5(F.regexp_replace("text", r"\s+", "")).alias("body"))
 
 

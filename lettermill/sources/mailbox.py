@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from lettermill.functions.text import is_email, normalize_email, text_column, trim_all
 from lettermill.sources.ranged import list_files, read_eml_archives, read_mbox_ranges
@@ -166,8 +167,8 @@ def _parsed(file: str, ordinal: int, raw: bytes) -> dict | None:
     }
 
 
-def parse_messages(raw: DataFrame) -> DataFrame:
-    """Messages of ``(file_path, ordinal, raw)`` as typed rows.
+def parse_messages(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Messages of ``(file_path, ordinal, raw)`` as typed rows, with further columns to ``keep`` beside them.
 
     ``storage_hash`` and ``size_bytes`` describe the message with attachment bodies replaced by
     their digests, so that copies which only wrap an attachment otherwise agree. A message
@@ -176,6 +177,7 @@ def parse_messages(raw: DataFrame) -> DataFrame:
     """
     spark = raw.sparkSession
     schema = spark.createDataFrame([], MESSAGE_SCHEMA).schema
+    made = StructType([*schema.fields, *(raw.schema[k] for k in keep)])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -191,9 +193,10 @@ def parse_messages(raw: DataFrame) -> DataFrame:
                     except (ValueError, LookupError, TypeError, AttributeError, IndexError):
                         row = None
                     rows.append(row or {"file_path": file, "ordinal": ordinal})
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                found = pa.RecordBatch.from_pylist(rows, schema=arrow)
+                yield pa.RecordBatch.from_arrays([*found.columns, *part.columns[3:]], names=made.names)
 
-    return raw.select("file_path", "ordinal", "raw").mapInArrow(kernel, schema)
+    return raw.select("file_path", "ordinal", "raw", *keep).mapInArrow(kernel, made)
 
 
 def read_contacts_csv(spark: SparkSession, path: str) -> DataFrame:

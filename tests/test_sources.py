@@ -157,3 +157,13 @@ def test_streamed_index_and_snapshots(spark, tmp_path):
     assert sorted(r.term for r in jobs.read_index(spark, f"{tmp_path}/index").collect()) == ["more", "world"]
     empty = [spark.createDataFrame([], s) for s in (EMAILS, "email_id string, attachment_id string", "id string, filename string, mime_type string, size_bytes long, content_hash_sha256 string", "fingerprint string, created_at long")]
     assert jobs.refresh_duplicates(*empty, f"{tmp_path}/snap").count() == 0 == jobs.refresh_duplicates(*empty, f"{tmp_path}/snap").count()
+
+
+def test_archived_mails_keep_their_folder_without_a_join(spark):
+    from lettermill.plans.archive_queries import mail_archives
+
+    got = mail_archives(spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan  # every entry's place went to the driver
+    want = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("'in/' || source as source_path", "'Doc ' || doc_id as subject")
+    assert sorted(got.select("source_path", "subject").collect()) == sorted(want.collect())
