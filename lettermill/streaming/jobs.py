@@ -61,7 +61,8 @@ def import_batch(raw: DataFrame, archive: DataFrame, sources: DataFrame, source_
         thread.alias("thread_id"), "subject", at.alias("at"), path.alias("path"),
         F.array_union(F.when(path != "", F.array(path)).otherwise(F.expr("cast(array() as array<string>)")), filed["labels"]).alias("tags"), "storage_hash", "size_bytes", "attachments",
     )
-    found = materialize(dedup_messages(rows, archive, sources), "import")
+    # three branches of the deduplication read it, and none of them parses
+    found = materialize(dedup_messages(materialize(rows, "import-parsed"), archive, sources), "import")
     place = found.groupBy("id").agg(F.min("ordinal").alias("__first"))
     again = (F.col("status") == "archived") & (F.col("ordinal") > F.col("__first"))
     told = join_hot(found, place, "id").withColumn("status", F.when(again, "duplicate").otherwise(F.col("status"))).drop("__first")

@@ -167,3 +167,22 @@ def test_archived_mails_keep_their_folder_without_a_join(spark):
     assert "Join" not in plan and "Broadcast" not in plan  # every entry's place went to the driver
     want = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("'in/' || source as source_path", "'Doc ' || doc_id as subject")
     assert sorted(got.select("source_path", "subject").collect()) == sorted(want.collect())
+
+
+def test_import_parses_a_message_once(spark):
+    from pyspark.sql import functions as F
+
+    from lettermill.streaming.jobs import import_batch
+
+    parsed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            parsed.add(batch.num_rows)
+            yield batch
+
+    raw = spark.range(40).select(F.lit("a").alias("file_path"), F.col("id").alias("ordinal"), F.concat(F.lit("Message-ID: <"), F.col("id").cast("string"), F.lit(">\n\nx")).cast("binary").alias("raw"))
+    archive = spark.createDataFrame([], "id string, ingestion_source_id string, provider_message_id string")
+    sources = spark.createDataFrame([("s1", None)], "id string, merged_into_id string")
+    done = import_batch(raw.mapInArrow(counted, raw.schema), archive, sources, "s1")
+    assert done["messages"].count() == 40 and parsed.value == 40
