@@ -56,12 +56,17 @@ def with_issue_assets(emails: DataFrame, assets: DataFrame) -> DataFrame:
     return emails.join(listed.withColumnRenamed("email_id", "id"), "id", "left")
 
 
+def _keys(other: DataFrame, on: str | list[str]) -> DataFrame:
+    """A filter asks whether a key is there, so each goes once into the join, however often it occurs."""
+    return other.select(*([on] if isinstance(on, str) else on)).distinct()
+
+
 def semi_filter(df: DataFrame, other: DataFrame, on: str | list[str]) -> DataFrame:
-    return df.join(other, on, "left_semi")
+    return df.join(_keys(other, on), on, "left_semi")
 
 
 def anti_filter(df: DataFrame, other: DataFrame, on: str | list[str]) -> DataFrame:
-    return df.join(other, on, "left_anti")
+    return df.join(_keys(other, on), on, "left_anti")
 
 
 def explode_json(df: DataFrame, column: str, out: str = "value") -> DataFrame:

@@ -286,7 +286,7 @@ def source_details(spark, sf):
 
 @query("semi_and_anti", V.LINKS_SQL, V.ATTACHMENTS_SQL, sql="SELECT id, TRUE AS linked FROM attachments WHERE id IN (SELECT attachment_id FROM links) UNION ALL SELECT id, FALSE FROM attachments WHERE id NOT IN (SELECT attachment_id FROM links)")
 def semi_and_anti(spark, sf):
-    a, used = V.attachments(spark, sf).select("id"), mut.dedup_links(V.links(spark, sf)).select(F.col("attachment_id").alias("id"))
+    a, used = V.attachments(spark, sf).select("id"), V.link_rows(spark, sf).select(F.col("attachment_id").alias("id"))
     return jn.semi_filter(a, used, "id").withColumn("linked", F.lit(True)).unionByName(jn.anti_filter(a, used, "id").withColumn("linked", F.lit(False)))
 
 

@@ -214,3 +214,16 @@ def test_results_do_not_depend_on_partitions(spark):
     got = [sorted(map(str, dup.duplicate_groups(dup.cluster_members(e, *none)).collect())) for e in (emails.coalesce(1), emails.repartition(8))]
     assert got[0] == got[1]
     assert emails.agg(F.count("*")).first()[0] == 20
+
+
+def test_filters_by_presence_join_each_key_once(spark):
+    from lettermill.operators import joins as jn, mutations as mut
+    from lettermill.plans import mailview as V
+    from lettermill.plans.archive_queries import semi_and_anti
+
+    rows, keys = spark.createDataFrame([(1,), (2,), (3,)], "id int"), spark.createDataFrame([(1,), (1,), (2,), (None,)], "id int")
+    assert sorted(r.id for r in jn.semi_filter(rows, keys, "id").collect()) == [1, 2]
+    assert [r.id for r in jn.anti_filter(rows, keys, ["id"]).collect()] == [3]
+    plan = semi_and_anti(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" not in plan  # links were grouped by both their ends
+    assert mut.dedup_links(V.link_rows(spark, "/root/testdata/sf0.001")).count() == V.links(spark, "/root/testdata/sf0.001").count()
