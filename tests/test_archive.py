@@ -4,12 +4,14 @@ import itertools
 import random
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from lettermill.operators import aggregates as agg, duplicates as dup, filters as flt, mutations as mut, search as srch
 from lettermill.operators.components import connected_components
 from lettermill.operators.ingest import dedup_messages
-from lettermill.plans import views
+from lettermill.plans import mailview as V, views
+from lettermill.plans.queries import QUERIES
 from lettermill.schemas import ASSETS, ATTACHMENTS, CONTACTS, EMAILS, IGNORES, JOBS, LINKS, SEARCH_DOCS, SESSIONS, SOURCES, Archive
 
 
@@ -227,3 +229,10 @@ def test_filters_by_presence_join_each_key_once(spark):
     plan = semi_and_anti(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "l_orderkey" not in plan  # links were grouped by both their ends
     assert mut.dedup_links(V.link_rows(spark, "/root/testdata/sf0.001")).count() == V.links(spark, "/root/testdata/sf0.001").count()
+
+
+def test_attachment_dedup_deals_links_over_all_partitions(spark):
+    # joined by adaptive execution they were one partition, and the table of attachments stood in every task
+    assert V.links(spark, SF, "attachment_id").rdd.getNumPartitions() == 4
+    plan = QUERIES["attachment_dedup"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
