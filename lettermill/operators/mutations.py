@@ -9,6 +9,7 @@ from lettermill.functions.tags import apply_tag_changes, normalize_tags
 from lettermill.operators.aggregates import remote_status, source_stats
 from lettermill.operators.joins import merge_groups
 from lettermill.schemas import Archive
+from lettermill.session import dealt
 
 NOT_FOUND = "Archived email not found"
 
@@ -42,7 +43,9 @@ def permanent_delete(tables: Archive, ids: DataFrame) -> tuple[Archive, DataFram
     gone = ids.select(F.col("id").alias("email_id")).distinct()
     dead = tables.emails.join(gone.withColumnRenamed("email_id", "id"), "id", "left_semi")
     links = tables.links.join(gone, "email_id", "left_anti")
-    lost = tables.links.join(gone, "email_id", "left_semi").select("attachment_id").distinct().join(links, "attachment_id", "left_anti")
+    # links are read once: an attachment is lost where every link of it goes
+    held = tables.links.join(gone.withColumn("__gone", F.lit(True)), "email_id", "left").select("attachment_id", F.col("__gone").isNotNull().alias("__gone"))
+    lost = dealt(held, "attachment_id").groupBy("attachment_id").agg(F.bool_and("__gone").alias("__lost")).where("__lost").select("attachment_id")
     attachments = tables.attachments.join(lost.withColumnRenamed("attachment_id", "id"), "id", "left_anti")
     orphans = tables.attachments.join(lost.withColumnRenamed("attachment_id", "id"), "id", "left_semi").select("storage_path")
     orphans = orphans.unionByName(dead.select("storage_path")).where("storage_path is not null").distinct()

@@ -236,3 +236,8 @@ def test_attachment_dedup_deals_links_over_all_partitions(spark):
     assert V.links(spark, SF, "attachment_id").rdd.getNumPartitions() == 4
     plan = QUERIES["attachment_dedup"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_emptied_trash_reads_links_once(spark):
+    plan = QUERIES["empty_trash_orphans"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_orderkey") == 1
