@@ -11,7 +11,7 @@ from lettermill.operators.incremental import ComponentLog, exact_key_edges, exac
 from lettermill.plans import mailview as V, views
 from lettermill.plans.queries import _CLUSTERS_SQL, _GROUPED_SQL, _members, LIVE, query
 from lettermill.schemas import Archive, SEARCH_DOCS
-from lettermill.session import materialize, scratch_path
+from lettermill.session import dealt, materialize, scratch_path
 from lettermill.sources import mailbox as mb
 from lettermill.sources.ranged import list_files, read_eml_archives, write_eml_archives
 from lettermill.streaming import jobs
@@ -120,7 +120,8 @@ def _urls(spark, sf):
     made = [("https://cdn.example/i", k, ".png"), ("http://10.", z, ".0.1/a"), ("ftp://x.example/", k, ""), ("https://t", z, F.concat(F.lit(".emltrk.com/"), k)), ("http://u:p@x.example/", k, ""), ("http://x.example:8", z, "/"), ("http://", (F.lit(2130706432) + F.col("p_size")).cast("string"), "/")]
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     url = F.get(F.array(*[F.concat(*map(lit, m)) for m in made]), (F.col("p_partkey") % 7).cast("int"))
-    return _part(spark, sf).select(F.col("p_partkey").alias("k"), url.alias("url"), "p_size")
+    # a file of keys is small and read by few tasks, the pages made of them are long to scan: they are dealt first
+    return dealt(_part(spark, sf).select("p_partkey", "p_size"), "p_partkey").select(F.col("p_partkey").alias("k"), url.alias("url"), "p_size")
 
 
 @query(

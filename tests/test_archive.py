@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lettermill.operators import aggregates as agg, duplicates as dup, filters as flt, mutations as mut, search as srch
 from lettermill.operators.components import connected_components
 from lettermill.operators.ingest import dedup_messages
-from lettermill.plans import mailview as V, views
+from lettermill.plans import archive_queries, mailview as V, views
 from lettermill.plans.queries import QUERIES
 from lettermill.schemas import ASSETS, ATTACHMENTS, CONTACTS, EMAILS, IGNORES, JOBS, LINKS, SEARCH_DOCS, SESSIONS, SOURCES, Archive
 
@@ -241,3 +241,7 @@ def test_attachment_dedup_deals_links_over_all_partitions(spark):
 def test_emptied_trash_reads_links_once(spark):
     plan = QUERIES["empty_trash_orphans"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet [l_orderkey") == 1
+
+
+def test_pages_of_a_small_file_are_dealt(spark):
+    assert archive_queries._urls(spark, SF).rdd.getNumPartitions() == 4
