@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -167,6 +168,18 @@ def _parsed(file: str, ordinal: int, raw: bytes) -> dict | None:
     }
 
 
+def _pieces(sizes: list[int], rows: int = 100, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """``(start, number)`` of runs of at most ``rows`` messages and ``most`` bytes; one larger message goes alone."""
+    start, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > start and (k - start == rows or held + size > most):
+            yield start, k - start
+            start, held = k, 0
+        held += size
+    if sizes:
+        yield start, len(sizes) - start
+
+
 def parse_messages(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Messages of ``(file_path, ordinal, raw)`` as typed rows, with further columns to ``keep`` beside them.
 
@@ -184,8 +197,8 @@ def parse_messages(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
+            for at, n in _pieces(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()):
+                part = batch.slice(at, n)
                 rows = []
                 for file, ordinal, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
                     try:

@@ -186,3 +186,8 @@ def test_import_parses_a_message_once(spark):
     sources = spark.createDataFrame([("s1", None)], "id string, merged_into_id string")
     done = import_batch(raw.mapInArrow(counted, raw.schema), archive, sources, "s1")
     assert done["messages"].count() == 40 and parsed.value == 40
+
+
+def test_messages_are_parsed_in_pieces_of_few_bytes():
+    large = [1 << 20] * 10 + [9 << 20] + [1] * 150
+    assert list(mb._pieces(large)) == [(0, 4), (4, 4), (8, 2), (10, 1), (11, 100), (111, 50)] and list(mb._pieces([])) == []
