@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lettermill.llm import annforest, chat, embdedup, langid, licenses, minhash, mixing, packing, queries, sharding, tokenfile, tokens
+from lettermill.operators.components import connected_components
 from lettermill.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -558,6 +559,63 @@ def test_depths_of_runs():
             assert got[k] == depth
 
 
+def test_embedding_few_dense_rows_among_many(spark, tmp_path):
+    """A topic as dense as the cosine allows, of fewer than a thousandth of the rows: none of its pairs is lost."""
+    rng = np.random.default_rng(11)
+    basis = np.linalg.qr(rng.standard_normal((32, 32)))[0]
+    c, own = (0.9505 - 0.9495) / (1 - 0.9495), basis[1:13]
+    own = np.vstack([own, c * own + np.sqrt(1 - c * c) * basis[13:25]])
+    x = np.vstack([rng.standard_normal((26_000, 32)), np.sqrt(0.9495) * basis[0] + np.sqrt(1 - 0.9495) * own])
+    path = f"{tmp_path}/v.parquet"
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x.astype(np.float32)))}), path)
+    got = embdedup.embedding_near_duplicates(spark.read.parquet(path), embdedup.ProjectionConfig(windows=(1,), row_cost=0, block=128)).where("vec_id >= 26000")
+    assert [(r.n_links, r.component_id) for r in got.orderBy("vec_id").collect()] == [(1, 26_000 + k % 12) for k in range(24)]
+
+
+def test_embedding_windows_wider_than_a_block(spark):
+    x = vectors(900)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "node long, v array<double>")
+    cfg, passes = embdedup.ProjectionConfig(), embdedup.Passes(2, 600, x.mean(0).astype(np.float64), 5)
+    rows = embdedup.windowed(df, passes, 100, cfg)
+    held = collections.defaultdict(set)
+    for r in rows.collect():
+        held[r.stretch].add(r.place)
+    assert max(map(len, held.values())) <= 3 * 256
+    together = np.zeros((1800, 1800), bool)
+    for s in held.values():
+        together[np.ix_(sorted(s), sorted(s))] = True
+    a, b = np.triu_indices(1800)
+    assert together[a, b][b - a <= 600].all()
+
+    def linked(size):
+        stretches = embdedup.windowed(df, passes, size, cfg).repartition("stretch").sortWithinPartitions("stretch", "place")
+        return components(stretches.mapInArrow(lambda it: embdedup._linking(it, passes, size, cfg), "u long, v long"))
+
+    assert linked(100) == linked(4096) and len(linked(100)) > 300
+
+
+def components(links):
+    return {(r.node, r.component) for r in connected_components(links).collect()}
+
+
+def test_depths_from_places(spark):
+    x = np.random.default_rng(9).standard_normal((400, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "node long, v array<double>")
+    cfg, passes = embdedup.ProjectionConfig(), embdedup.Passes(2, 0, np.zeros(16), 3)
+    got = {r.node: {(s["pass"], s.window): s.depth for s in r.seen} for r in embdedup.depths(embdedup.placed(df, passes, cfg), [5, 60, 500]).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for number in (3, 4):
+        keys = passes.keys(unit, number, cfg)
+        signs, place = np.unpackbits(keys, axis=1), np.empty(400, int)
+        place[np.lexsort(keys.T[::-1])] = np.arange(400)
+        for window in (5, 60, 500):
+            for k in range(0, 400, 7):
+                depth = 0
+                while (np.abs(place[(signs[:, :depth] == signs[k, :depth]).all(1)] - place[k]) > window).any():
+                    depth += 1
+                assert got.get(k, {}).get((number, window), 0) == depth
+
+
 def test_forest_recall_and_order(spark):
     x = vectors(600, 24, 7)
     rows = [(k, [float(v) for v in r], 0) for k, r in enumerate(x)] + [(1000, None, 0), (1100, [0.0] * 24, 0), (1200, [float("inf")] * 24, 0)]
