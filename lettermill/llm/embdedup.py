@@ -309,7 +309,7 @@ def sorted_passes(classes: DataFrame, dims: int, cfg: ProjectionConfig) -> DataF
         return seen.mapInArrow(lambda it: gains(it, passes, windows, near, most, cfg), "node long, far double, done double, window long, gain double")
 
     state = materialize(classes.select("node", "v").mapInArrow(started, "node long, far double, done double").withColumn("gain", F.lit(goal)), "embdedup-state")
-    first, links = 0, classes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+    first, window, weighed, links = 0, 0, math.inf, classes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     while True:
         seen = state.agg(F.count("*"), F.min("far"), F.max("far"), F.sum(goal - F.col("done")), F.sum("gain")).first()
         n, near, most, left, gained = seen
@@ -324,16 +324,18 @@ def sorted_passes(classes: DataFrame, dims: int, cfg: ProjectionConfig) -> DataF
             found = gain_of(places.where(F.col("pass") == first), Passes(1, 0, center, first), windows)
             return {r["window"]: left / max(r["gain"], 1e-300) for r in found.groupBy("window").agg(F.sum("gain").alias("gain")).collect()}
 
-        # few rows that are left can meet all at once
-        whole = [max(1, n - 1)] if n <= rows else []
-        needed = need(sorted({*cfg.candidates(dims), *whole}))
-        if min(needed.values()) > cfg.most_passes:
-            wider = [max(needed) * 4]
-            while wider[-1] < n - 1:
-                wider.append(wider[-1] * 4)
-            needed |= need(wider)
-        window = min(needed, key=lambda w: (needed[w] > cfg.most_passes, needed[w] * (cfg.row_cost + min(w, n))))
-        number = min(number, math.ceil(needed[window]))
+        # the window is weighed anew where half of the rows have left, or where it gains too little for those that stay
+        if n < weighed / 2 or n <= rows < weighed or left > cfg.most_passes * gained:
+            # few rows that are left can meet all at once
+            whole = [max(1, n - 1)] if n <= rows else []
+            needed = need(sorted({*cfg.candidates(dims), *whole}))
+            if min(needed.values()) > cfg.most_passes:
+                wider = [max(needed) * 4]
+                while wider[-1] < n - 1:
+                    wider.append(wider[-1] * 4)
+                needed |= need(wider)
+            window = min(needed, key=lambda w: (needed[w] > cfg.most_passes, needed[w] * (cfg.row_cost + min(w, n))))
+            number, weighed = min(number, math.ceil(needed[window])), n
         passes = Passes(number, window, center, first)
         places = places.where(F.col("pass") < first + number)
         stretches = windowed(classes, passes, rows, cfg, places).repartition("stretch").sortWithinPartitions("stretch", "place")
