@@ -12,6 +12,9 @@ their next letter; labels and the letters after them drop most of them at once.
 the first letter in which they differ, so a state spends its one edit where it leaves its own path.
 Of two near words only one finds the other: the longer, or that of the smaller letter. States
 that have read their word with one edit are where words end: neighbours.
+
+Tables here grow with the words, and Spark sizes them from packed files or as if no row became many: joins are
+hinted to sort both sides, but where the states of a level were counted and are few.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ from lettermill.llm.blocks import give_back
 from lettermill.operators.components import join_hot
 from lettermill.session import materialize
 
+#: bytes of states that are sent to every task rather than that the tries are sorted anew
+_FEW = 8 << 20
+
 
 @dataclass(frozen=True)
 class VariantConfig:
@@ -104,15 +110,15 @@ def build_trie(readings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     places = readings.select("*", F.explode(F.sequence("half", F.col("size") - 1)).alias("at"))
     located = places.select("id", "back", "at", name.alias("node"), F.ascii(F.substr("read", F.col("at") + 1, F.lit(1))).alias("next"))
     branching = located.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b")).where("a <> b").select("node")
-    cuts = join_hot(located.select("id", "back", "at", "node"), branching, "node").groupBy("id", "back").agg(F.collect_set("at").alias("cuts"))
+    cuts = join_hot(located.select("id", "back", "at", "node"), branching.hint("merge"), "node").groupBy("id", "back").agg(F.collect_set("at").alias("cuts"))
     stops = F.sort_array(F.array_union(F.array("half", "size"), F.coalesce("cuts", F.expr("cast(array() as array<int>)"))))
-    cut = readings.join(cuts, ["id", "back"], "left").select("back", "read", "size", stops.alias("stops"))
+    cut = readings.join(cuts.hint("merge"), ["id", "back"], "left").select("back", "read", "size", stops.alias("stops"))
     step = cut.select("*", F.posexplode(F.slice("stops", 1, F.size("stops") - 1)).alias("k", "at")).withColumn("to", F.get("stops", F.col("k") + 1))
     child = _name(F.col("read"), F.col("size"), F.col("back"), F.col("to"))
     edges = step.select(name.alias("node"), F.substr("read", F.col("at") + 1, F.col("to") - F.col("at")).alias("label"), child.alias("child"))
     edges = materialize(edges.distinct(), "trie-edge")
     following = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("next"))
-    seen = join_hot(edges, following, "child", "left")
+    seen = join_hot(edges, following.hint("merge"), "child", "left")
     table = materialize(seen.select("node", F.substring("label", 1, 1).alias("first"), "label", F.length("label").alias("size"), "child", F.coalesce("next", F.lit("")).alias("next")), "trie")
     nodes = table.groupBy("node").agg(F.collect_list(F.struct(*[c for c in table.columns if c != "node"])).alias("edges"))
     last = readings.select(_name(F.col("read"), F.col("size"), F.col("back"), F.col("size")).alias("node"), "back", F.col("read").alias("near"))
@@ -143,11 +149,11 @@ def _state(to: Column, edits: int) -> Column:
     return F.struct(to.cast("int").alias("pos"), F.col("child").alias("node"), F.lit(edits).alias("edits"), "lack")
 
 
-def _moved(states: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def _moved(states: DataFrame, edges: DataFrame, nodes: DataFrame, few: bool = False) -> DataFrame:
     """The states after one more edge: of those without an edit over every edge, of the others over their own."""
     pos, own, after = F.col("pos"), F.substr("word", F.col("pos") + 1, F.lit(1)), F.substr("word", F.col("pos") + 2, F.lit(1))
     to, same = pos + F.col("size"), F.col("lack") == 0
-    fresh = states.where("edits = 0").select("word", "pos", "lack", "node").join(nodes, "node")
+    fresh = states.where("edits = 0").select("word", "pos", "lack", "node").hint("broadcast" if few else "merge").join(nodes, "node")
     fresh = fresh.select("word", "pos", "lack", F.inline("edges")).where((F.col("first") == own) | F.when(same, F.col("first") > own).otherwise(F.col("first") == after))
     # where nothing is lacking, the end of the own path is the word itself
     ahead = F.when(_reads(pos) & ((F.col("next") != "") | ~same), _state(to, 0))
@@ -159,8 +165,9 @@ def _moved(states: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     # one number names a node's edge, so a row is narrow; an edge is one row, so each task's share of edges is small and
     # is looked up in memory: the many states of a few upper nodes need no sort
     hop = F.xxhash64("node", "first").alias("hop")
-    one = edges.select(hop, "label", "size", "child", "next").hint("shuffle_hash")
-    spent = states.where("edits = 1").select("word", "pos", "lack", "node", own.alias("first")).select("word", "pos", "lack", hop).join(one, "hop")
+    one = edges.select(hop, "label", "size", "child", "next")
+    spent = states.where("edits = 1").select("word", "pos", "lack", "node", own.alias("first")).select("word", "pos", "lack", hop)
+    spent = spent.hint("broadcast").join(one, "hop") if few else spent.join(one.hint("shuffle_hash"), "hop")
     spent = spent.where(_reads(pos) & _live(to)).select("word", _state(to, 1).alias("s")).select("word", "s.*")
     return fresh.unionByName(spent)
 
@@ -169,12 +176,14 @@ def near_words(words: DataFrame, max_levels: int = 100_000) -> DataFrame:
     """``(word, near)``, both ways round, of all words ``(id, word)`` one inserted, deleted or replaced letter apart."""
     readings = _readings(words)
     edges, nodes, last = build_trie(readings)
-    states, done = start(readings), []
+    states, done, few = start(readings), [], False
     for _ in range(max_levels):
         seen = Observation()
-        level = materialize(_moved(states, edges, nodes).observe(seen, F.count("*").alias("n")), "variants-level")
+        moved = _moved(states, edges, nodes, few).observe(seen, F.count("*").alias("n"), F.sum(F.octet_length("word") + 64).alias("size"))
+        level = materialize(moved, "variants-level")
         if not seen.get["n"]:
             break
+        few = seen.get["size"] <= _FEW
         done.append(level)
         states = level.where("pos < length(word) - if(edits = 0, lack, 0)")
     else:
@@ -185,7 +194,7 @@ def near_words(words: DataFrame, max_levels: int = 100_000) -> DataFrame:
     stopped = done[0].where(ended)
     for level in done[1:]:
         stopped = stopped.unionByName(level.where(ended))
-    found = stopped.select("word", "node").distinct().join(last, "node")
+    found = stopped.select("word", "node").distinct().join(last.hint("merge"), "node")
     # names of nodes are hashes: what they found is confirmed on the words
     found = found.where(F.levenshtein("word", "near") == 1)
     front = [F.when(F.col("back"), F.reverse(c)).otherwise(F.col(c)).alias(c) for c in ("word", "near")]
@@ -208,9 +217,9 @@ def group_variants(docs: DataFrame, cfg: VariantConfig = VariantConfig(), id_col
     counted = materialize(count_words(docs, cfg, id_col, text_col), "variants-word")
     words = materialize(counted.withColumn("id", F.monotonically_increasing_id()), "variants-id")
     near = near_words(words.select("id", "word"))
-    sized = join_hot(near, words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    sized = join_hot(near, words.select(F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge"), "near")
     best = sized.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("n"), "near")).alias("best"))
-    formed = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.near").alias("near"), (-F.col("best.n")).alias("form_n"))
+    formed = words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.near").alias("near"), (-F.col("best.n")).alias("form_n"))
     wins = F.coalesce(F.col("form_n") >= cfg.ratio * F.col("n"), F.lit(False))
     formed = materialize(formed.select("word", "n", "n_near", F.when(wins, F.col("near")).alias("form"), F.when(wins, F.col("form_n")).alias("form_n")), "variants-form")
     # each form is ratio times as frequent, so chains are short and their length doubles a round
@@ -218,8 +227,8 @@ def group_variants(docs: DataFrame, cfg: VariantConfig = VariantConfig(), id_col
     while True:
         step = root.select(F.col("word").alias("root"), F.col("root").alias("__next"))
         seen = Observation()
-        jumped = join_hot(root, step, "root", "left").observe(seen, F.count("__next").alias("moved"))
+        jumped = join_hot(root, step.hint("merge"), "root", "left").observe(seen, F.count("__next").alias("moved"))
         root = materialize(jumped.select("word", F.coalesce("__next", "root").alias("root")), "variants-root")
         if not seen.get["moved"]:
             break
-    return formed.join(root, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(root.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -187,6 +187,28 @@ def test_variants_of_one_word(spark):
     assert got_variants(variants.group_variants(docs)) == slow_variants([(1, "lonesome lonesome")])
 
 
+def test_variants_send_no_table_of_words_to_every_task(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, " ".join("".join(rng.choices("abc", k=7)) for _ in range(200))) for k in range(10)] + [(10, "abcabca " * 400)]
+    docs, plans, write = spark.createDataFrame(rows, "doc_id long, text string"), [], variants.materialize
+
+    def kept(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(variants, "materialize", kept)
+    made = variants.group_variants(docs)
+    assert got_variants(made) == slow_variants(rows)
+    plans.append(("made", made._jdf.queryExecution().executedPlan().toString()))
+    # only states that were counted, after the first level
+    assert {name for name, plan in plans if "Broadcast" in plan} == {"variants-level"}
+    assert "Broadcast" not in next(plan for name, plan in plans if name == "variants-level")
+    plans.clear()
+    monkeypatch.setattr(variants, "_FEW", 0)
+    assert got_variants(variants.group_variants(docs)) == slow_variants(rows)
+    assert len(plans) > 6 and not any("Broadcast" in plan for _, plan in plans)
+
+
 # URL filters
 
 
