@@ -1,8 +1,8 @@
 """A search index of blocks with bounds, and pages of best hits that skip the blocks which can't reach them.
 
-Documents are laid in order of length and cut into parts. A block holds what one term has in one
-part, with the greatest share that the term can have in a score there; a dictionary holds each
-term's document frequency. Shares grow with counts less than in proportion, so the shares of
+Documents are dealt by id, laid in order of length in each task and cut into parts. A block holds
+what one term has in one part, with the counts of which one has the greatest share in a score
+there; a dictionary holds each term's document frequency. Shares grow with counts less than in proportion, so the shares of
 several terms add up to a bound of their sum, and a phrase has no more than its rarest token.
 """
 
@@ -13,19 +13,18 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from lettermill.operators import postings as kernels
 from lettermill.operators.search import FIELDS, WEIGHTS, parse_query, phrase_hits, resolve_fields, token_number, token_text
 from lettermill.session import materialize
 
-_BLOCKS = "term string, part long, df long, impact double, hits array<struct<email_id:string,length:int,in:array<struct<field:string,tf:bigint>>>>, places array<array<array<int>>>"
+_BLOCKS = "term string, part long, df long, best array<struct<f:double,length:int>>, email_id array<string>, length array<int>, field array<tinyint>, tf array<int>, at array<int>, places array<int>"
 
 
 @dataclass(frozen=True)
 class Index:
-    """``terms (term, df, blocks)``, ``blocks (term, part, df, impact, hits, places)``, the number of documents and
-    their mean length."""
+    """``terms (term, df, blocks)``, ``blocks`` of ``postings.blocks``, the number of documents and their mean length."""
 
     terms: DataFrame
     blocks: DataFrame
@@ -45,21 +44,28 @@ def _weight() -> Column:
 def write_index(docs: DataFrame, path: str, per_part: int = 1024) -> Index:
     """Write the index of search documents below ``path``; a part has ``per_part`` documents at most.
 
-    Documents are dealt by length, and a task makes the blocks of its parts where the documents are; those are dealt
-    by term and part: a term in all documents is as many rows as there are parts. Documents of equal id are one.
+    Texts move once, to the task of their id, which lays them by length, makes the blocks of its parts and writes
+    them where they are, in runs by term: a term in all documents is as many rows as there are parts, and blocks are
+    neither shuffled nor spilled. The mean length is known when all is written, so blocks tell what their greatest share depends on, not the share.
+    Documents of equal id are one.
     """
     spark = docs.sparkSession
-    held = materialize(docs.select("email_id", *[token_text(f).alias(f) for f in FIELDS]), "index-doc")
-    lengths = held.groupBy("email_id").agg(F.max(reduce(lambda a, b: a + b, [token_number(f) for f in FIELDS])).alias("length"))
-    known = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("length")).first()
-    average = float(known["length"] or 1.0) or 1.0
-    laid = held.join(lengths, "email_id").repartitionByRange("length", "email_id").sortWithinPartitions("length", "email_id").select("email_id", "length", *FIELDS)
-    made = laid.mapInArrow(lambda batches: kernels.blocks(batches, FIELDS, WEIGHTS, average, per_part, TaskContext.get().partitionId()), _BLOCKS)
-    blocks = materialize(made, "index-made")  # ranges are found by a pass of their own
-    blocks.repartitionByRange("term", "part").sortWithinPartitions("term", "part").write.parquet(f"{path}/blocks")
-    stored = spark.read.schema(blocks.schema).parquet(f"{path}/blocks")
+    same = Window.partitionBy("email_id").orderBy("email_id")  # joined rows stand so
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    held = docs.select("email_id", *[token_text(f).alias(f) for f in FIELDS])
+    held = held.withColumn("own", reduce(lambda a, b: a + b, [token_number(f) for f in FIELDS]))
+    # any one row of an id counts it
+    held = held.select("email_id", F.max("own").over(whole).alias("length"), F.row_number().over(same).alias("nth"), *FIELDS)
+    seen, one = Observation(), F.col("nth") == 1
+    held = held.observe(seen, F.count(F.when(one, 1)).alias("n"), F.sum(F.when(one, F.col("length")).cast("long")).alias("length")).where("email_id is not null")
+    laid = held.sortWithinPartitions("length", "email_id").select("email_id", "length", *FIELDS)
+    made = laid.mapInArrow(lambda batches: kernels.blocks(batches, FIELDS, WEIGHTS, per_part, TaskContext.get().partitionId()), _BLOCKS)
+    # within a run of blocks terms are in order, so a query reads pages of its terms alone where pages are short
+    made.write.option("compression", "zstd").option("parquet.page.row.count.limit", 2000).parquet(f"{path}/blocks")
+    total, average = seen.get["n"], float((seen.get["length"] or 0) / (seen.get["n"] or 1)) or 1.0
+    stored = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
     stored.groupBy("term").agg(F.sum("df").alias("df"), F.count("*").alias("blocks")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    stats = spark.range(1).select(F.lit(known["n"]).cast("long").alias("total"), F.lit(average).alias("average"))
+    stats = spark.range(1).select(F.lit(total).cast("long").alias("total"), F.lit(average).alias("average"))
     stats.write.parquet(f"{path}/stats")
     return open_index(spark, path)
 
@@ -83,8 +89,9 @@ def _of_terms(index: Index, phrases) -> DataFrame:
 
 def _postings(blocks: DataFrame) -> DataFrame:
     """``(term, email_id, length, field, tf, positions)`` of blocks."""
-    rows = blocks.select("term", F.inline(F.arrays_zip("hits", "places"))).select("term", "hits.email_id", "hits.length", F.inline(F.arrays_zip("hits.in", "places")))
-    return rows.toDF("term", "email_id", "length", "in", "positions").select("term", "email_id", "length", "in.field", "in.tf", "positions")
+    rows = blocks.select("term", "places", F.inline(F.arrays_zip("email_id", "length", "field", "tf", "at")))
+    field = F.get(F.array(*[F.lit(f) for f in FIELDS]), F.col("field").cast("int"))
+    return rows.select("term", "email_id", "length", field.alias("field"), F.col("tf").cast("long").alias("tf"), F.slice("places", F.col("at") + 1, F.col("tf")).alias("positions"))
 
 
 def document_frequencies(index: Index, query: str, fields=None) -> list[int]:
@@ -100,8 +107,8 @@ def document_frequencies(index: Index, query: str, fields=None) -> list[int]:
             found = phrase_hits(_postings(_of_terms(index, [(tokens, prefix)])), tokens, prefix, scope)
             asked.append(found.select(F.lit(k).alias("k"), "email_id").distinct().groupBy("k").count())
         elif prefix or len(scope) < len(FIELDS):
-            ids = index.blocks.where(_fits(tokens[0], prefix)).select(F.inline("hits"))
-            seen = ids.where(F.exists("in", lambda x: x["field"].isin(*scope))).select(F.lit(k).alias("k"), "email_id")
+            ids = index.blocks.where(_fits(tokens[0], prefix)).select(F.inline(F.arrays_zip("email_id", "field")))
+            seen = ids.where(F.col("field").isin(*[FIELDS.index(f) for f in scope])).select(F.lit(k).alias("k"), "email_id")
             asked.append(seen.distinct().groupBy("k").count())
         else:
             asked.append(index.terms.where(F.col("term") == tokens[0]).select(F.lit(k).alias("k"), F.col("df").alias("count")))
@@ -117,7 +124,8 @@ def part_bounds(index: Index, query: str, counts: list[int], or_mode: bool = Fal
     """``(part, bound, blocks)``: no document of a part scores more, over the parts that can hold a hit."""
     phrases = parse_query(query)
     told = [F.sum(F.when(_fits(t, p), F.col("impact"))).alias(f"b{n}") for n, (_, t, p) in enumerate(_tokens(phrases))]
-    seen = _of_terms(index, phrases).select("term", "part", "impact").groupBy("part").agg(*told, F.count("*").alias("blocks"))
+    impact = F.array_max(F.transform("best", lambda b: _share(b["f"], b["length"], index.average)))
+    seen = _of_terms(index, phrases).select("term", "part", impact.alias("impact")).groupBy("part").agg(*told, F.count("*").alias("blocks"))
     owner = [k for k, _, _ in _tokens(phrases)]
     parts, needed = [], []
     for k in range(len(phrases)):
@@ -132,7 +140,7 @@ def part_bounds(index: Index, query: str, counts: list[int], or_mode: bool = Fal
 def _scored(blocks: DataFrame, index: Index, query: str, counts: list[int], fields, or_mode: bool) -> DataFrame:
     phrases, scope = parse_query(query), resolve_fields(fields)
     postings = _postings(blocks)
-    lengths = blocks.select(F.inline("hits")).select("email_id", "length").distinct()
+    lengths = blocks.select(F.inline(F.arrays_zip("email_id", "length"))).distinct()
     rows = []
     for k, (tokens, prefix) in enumerate(phrases):
         found = phrase_hits(postings, tokens, prefix, scope).groupBy("email_id").agg(F.sum(F.col("tf") * _weight()).alias("f"))

@@ -75,3 +75,50 @@ def test_postings_are_those_of_exploded_tokens_and_equal_ids_are_one(spark, tmp_
     assert {r.term: r.df for r in index.terms.collect()} == {r.term: r["n"] for r in want.groupBy("term").agg(F.count_distinct("email_id").alias("n")).collect()}
     lists = ranked._postings(index.blocks).select("term", "email_id", "field", "tf", "positions")
     assert key(lists) == key(want)
+
+
+def test_index_is_written_from_one_pass_over_the_texts(spark, made, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    def refused(df, name):
+        raise AssertionError(f"a copy on the way: {name}")
+
+    monkeypatch.setattr(ranked, "materialize", refused)
+    reads = spark.sparkContext.accumulator(0)
+    read = F.udf(lambda x: (reads.add(1), x)[1], "string").asNondeterministic()
+    docs = made[0].repartition(3).withColumn("body", read("body"))
+    index = ranked.write_index(docs, str(tmp_path), per_part=20)
+    assert reads.value == made[0].count()
+    key = lambda df: sorted((r.term, r.email_id, r.length, r.field, r.tf, tuple(r.positions)) for r in df.collect())
+    assert key(ranked._postings(index.blocks)) == key(ranked._postings(made[1].blocks))
+    assert (index.total, index.average) == (made[1].total, made[1].average)
+
+
+def test_best_counts_of_a_block_bound_all_its_shares(made):
+    weight = [srch.WEIGHTS[f] for f in srch.FIELDS]
+    for r in made[1].blocks.collect():
+        counts = {}
+        for i, field, tf, n in zip(r.email_id, r.field, r.tf, r.length):
+            counts[i] = (counts.get(i, (0,))[0] + tf * weight[field], n)
+        assert len(counts) == r.df and len(r.best) <= r.df
+        for average in (0.5, 30.0, 4000.0):
+            share = lambda f, n: f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / average))  # noqa: E731, B023
+            assert max(share(*x) for x in counts.values()) == pytest.approx(max(share(x.f, x.length) for x in r.best), rel=1e-12)
+
+
+def test_runs_of_blocks_are_in_order_of_term(monkeypatch):
+    import pyarrow as pa
+
+    from lettermill.operators import postings as kernels
+
+    rng = random.Random(2)
+    rows = [{"email_id": f"{k:03}", "length": 9, **{f: "" for f in srch.FIELDS}, "body": " ".join(rng.choices("abcdefgh", k=9))} for k in range(40)]
+    batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=7)
+    found = {}
+    for run in (1, 6_000, 1 << 30):
+        monkeypatch.setattr(kernels, "_RUN", run)
+        found[run] = [r for b in kernels.blocks(iter(batches), srch.FIELDS, srch.WEIGHTS, 5, 3) for r in b.to_pylist()]
+    order = lambda r: (r["term"], r["part"])
+    assert found[1 << 30] == sorted(found[1], key=order) == sorted(found[6_000], key=order)
+    falls = {run: sum(b["term"] < a["term"] for a, b in zip(x, x[1:])) for run, x in found.items()}
+    assert falls[1 << 30] == 0 < falls[6_000] < falls[1] == 7
