@@ -64,7 +64,7 @@ def write_index(docs: DataFrame, path: str, per_part: int = 1024) -> Index:
     made.write.option("compression", "zstd").option("parquet.page.row.count.limit", 2000).parquet(f"{path}/blocks")
     total, average = seen.get["n"], float((seen.get["length"] or 0) / (seen.get["n"] or 1)) or 1.0
     stored = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
-    stored.groupBy("term").agg(F.sum("df").alias("df"), F.count("*").alias("blocks")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    stored.groupBy("term").agg(F.sum("df").alias("df"), F.count("*").alias("blocks")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
     stats = spark.range(1).select(F.lit(total).cast("long").alias("total"), F.lit(average).alias("average"))
     stats.write.parquet(f"{path}/stats")
     return open_index(spark, path)
